@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from confab.llm.components import components
 from confab.session import cut
 
-CURVES, DIMS, BITS = 12, 8, 6
+CURVES, DIMS, BITS = 8, 8, 6
 SKETCH, SKETCH_SCALE = 96, 317.0
-BLOCK = 1024  # rows of a window's half
+BLOCK = 2048  # rows of a window's half
 GROUP = 4096  # rows of a neighbourhood that one call compares as a whole
 SEEN = 0.62  # cosine of two sketches from which their rows are neighbours
 SEED = 20231
@@ -143,7 +143,7 @@ def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if not batch.num_rows:
             continue
-        curves, nodes = batch.column("curve").to_numpy(), batch.column("node").to_numpy()
+        curves, nodes = batch.column("place").to_numpy() >> (DIMS * BITS), batch.column("node").to_numpy()
         column = batch.column("sketch")
         raw = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
         raw /= np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), 1e-6)
@@ -169,8 +169,10 @@ def _partitions(df: DataFrame) -> int:
 
 def window_links(sketches: DataFrame) -> DataFrame:
     """Links (a, b) between rows that are near in a window of some curve."""
-    rows = sketches.select(F.posexplode("keys").alias("c", "key"), "node", "sketch").select((F.col("c") * 2 + F.col("node") % 2).cast("int").alias("curve"), "key", "node", "sketch")
-    sorted_rows = rows.repartitionByRange(_partitions(rows), "curve", "key").sortWithinPartitions("curve", "key", "node")
+    rows = sketches.select(F.posexplode("keys").alias("c", "key"), "node", "sketch")
+    # curve, modality and key in one number: fewer bytes to shuffle
+    rows = rows.select(F.shiftleft(F.col("c").cast("bigint") * 2 + F.col("node") % 2, DIMS * BITS).bitwiseOR(F.col("key")).alias("place"), "node", "sketch")
+    sorted_rows = rows.repartitionByRange(_partitions(rows), "place").sortWithinPartitions("place", "node")
     return sorted_rows.mapInArrow(_window_links, "a bigint, b bigint")
 
 
