@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from confab.plans import problems
+from confab.plans import intervals, problems, reports, store, text, vectors
 
-MODULES = (problems,)
+MODULES = (problems, store, intervals, reports, text, vectors)
 
 
 def queries() -> dict:
