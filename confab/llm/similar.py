@@ -35,6 +35,7 @@ from confab.session import cut
 CURVES, DIMS, BITS = 8, 8, 6
 SKETCH, SKETCH_SCALE = 96, 317.0
 BLOCK = 2048  # rows of a window's half
+SMALL_TABLE = 2_000_000  # rows (16 bytes each) of the table of neighbourhoods that may be broadcast; beyond, it is shuffled
 GROUP = 4096  # rows of a neighbourhood that one call compares as a whole
 SEEN = 0.62  # cosine of two sketches from which their rows are neighbours
 SEED = 20231
@@ -125,8 +126,11 @@ def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         near = (sketches @ all_sketches.T) >= SEEN
         first, last = near.argmax(axis=1), near.shape[1] - 1 - near[:, ::-1].argmax(axis=1)
         before = (curve, nodes, sketches)
-        a, b = np.concatenate([nodes, nodes]), np.concatenate([all_nodes[first], all_nodes[last]])
-        keep = (a != b) & np.concatenate([near.any(axis=1)] * 2) if own else np.zeros(0, bool)
+        # a row that is the first of its neighbours reaches forward, so that rows between it and the next are not cut off
+        leads = all_nodes[first] == nodes
+        a, b = np.concatenate([nodes, nodes[leads]]), np.concatenate([all_nodes[first], all_nodes[last[leads]]])
+        there = near.any(axis=1)
+        keep = (a != b) & np.concatenate([there, there[leads]]) if own else np.zeros(0, bool)
         return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
 
     waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -301,8 +305,11 @@ def neighbours(tables: dict[int, tuple[DataFrame, int]], k: int = 5, least: floa
     sketched = cut(sketched)
     groups = components(window_links(sketched))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(sizes, "component").select("node", "component", "size")
-    small = placed.filter(F.col("size") <= GROUP).join(vectors, "node").select("component", "node", "embedding")
+    placed = cut(groups.join(sizes, "component").select("node", "component", "size"))
+    listed = placed.filter(F.col("size") <= GROUP).select("node", "component")
+    if listed.count() <= SMALL_TABLE:
+        listed = F.broadcast(listed)  # spares a shuffle of the full vectors
+    small = vectors.join(listed, "node").select("component", "node", "embedding")
     n = _partitions(vectors)
     near = small.repartition(n, "component").sortWithinPartitions("component", "node").mapInArrow(_rerank(k, least), FOUND)
     large = cut(placed.filter(F.col("size") > GROUP).select("node", "component"))
