@@ -44,7 +44,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = turns.speaker_turns(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "segments"))
+    built = turns.speaker_turns(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "segments"), with_text=False)
     return built.select("session_pk", "first_line", "last_line")
 
 
