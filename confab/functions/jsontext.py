@@ -8,19 +8,19 @@ What can't be read to its end stays unreadable: ``from_json`` then gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The spellings of literals in Python notation and in JSON.
 _LITERALS = (("None", "null"), ("True", "true"), ("False", "false"))
-_BLANK = r"^[\s\x{FEFF}\x{200B}\x{00A0}]+|[\s\x{FEFF}\x{200B}\x{00A0}]+$"
+_BLANK = " \t\n\r\x0b\x0c\ufeff\u200b\u00a0"
 _TOKEN = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++"""
 _OPTIONS = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true", "mode": "PERMISSIVE"}
 
 
 def trimmed(text: Column) -> Column:
     """The text without byte-order mark and surrounding blanks."""
-    return F.regexp_replace(text, _BLANK, "")
+    return F.btrim(text, F.lit(_BLANK))
 
 
 def parse(text: Column, schema: str) -> Column:
@@ -54,9 +54,12 @@ def _from_python(text: Column) -> Column:
     return F.when(whole, F.array_join(F.transform(tokens, token), ""))
 
 
-def readable(text: Column) -> Column:
-    """One plain JSON document, or null where the text is null or blank."""
-    once = trimmed(text)
-    twice = F.when(F.startswith(once, F.lit('"')), trimmed(F.element_at(strings(F.concat(F.lit("["), once, F.lit("]"))), 1))).otherwise(once)
-    python = twice.rlike(r"^[\{\[]\s*'|^\[\s*\{\s*'")
-    return F.when(python, _from_python(twice)).otherwise(twice)
+def readable(df: DataFrame, *columns: str) -> DataFrame:
+    """The table with one plain JSON document in each of the columns, null where the text is null.
+
+    Each step is a projection of its own, so no text is searched twice.
+    """
+    once = df.withColumns({c: trimmed(F.col(c)) for c in columns})
+    unwrapped = lambda c: F.when(F.startswith(c, F.lit('"')), trimmed(F.element_at(strings(F.concat(F.lit("["), c, F.lit("]"))), 1))).otherwise(c)
+    twice = once.withColumns({c: unwrapped(F.col(c)) for c in columns})
+    return twice.withColumns({c: F.when(F.col(c).rlike(r"^[\{\[]\s*'|^\[\s*\{\s*'"), _from_python(F.col(c))).otherwise(F.col(c)) for c in columns})

@@ -77,34 +77,38 @@ def reason_items(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), _nothing()).when(_kind(text, "["), _numbered(strings(text))).otherwise(_split(text))
 
 
-def _pair(pos: Column, body: Column) -> Column:
-    """(pos, name, value) of ["name", 0.5], {"name": …, "score"|"n": …} or a bare name."""
-    listed, record = strings(body), parse(body, PAIR)
-    name = F.when(_kind(body, "["), F.get(listed, F.lit(0))).when(_kind(body, "{"), record["name"]).otherwise(body)
-    value = F.when(_kind(body, "["), F.get(listed, F.lit(1)).try_cast("double")).when(_kind(body, "{"), F.coalesce(record["score"], record["n"], record["count"]))
-    return F.struct(pos.alias("pos"), name.alias("name"), value.alias("value"))
+_PAIRS = "array<struct<pos:int,body:string,key:string>>"
 
 
-def pair_items(text: Column) -> Column:
-    """Named numbers with their positions: a list of pairs or records, one of them alone, or a mapping name → number."""
+def pair_bodies(text: Column) -> Column:
+    """Named numbers with their positions, unread: a list of pairs or records, one of them alone, or a mapping name → number."""
+    bare = lambda items: F.transform(items, lambda x: F.struct(x["pos"].alias("pos"), x["body"].alias("body"), F.lit(None).cast("string").alias("key")))
     listed, members = strings(text), entries(text)
     one_pair = text.rlike(r'^\[\s*"') & (F.size(listed) == 2) & F.get(listed, F.lit(1)).rlike(_NUMBER)
-    one_record = F.array_contains(F.transform(members, lambda m: m["key"]), "name")
-    alone = F.array(_pair(F.lit(0), text))
-    several = lambda items: F.transform(items, lambda x: _pair(x["pos"], x["body"]))
-    mapped = F.filter(
-        F.transform(members, lambda m, i: F.struct(i.alias("pos"), m["key"].alias("name"), m["value"].try_cast("double").alias("value"), m["value"].isNotNull().alias("there"))),
-        lambda x: x["there"],
-    )
-    mapped = F.transform(mapped, lambda x: F.struct(x["pos"].alias("pos"), x["name"].alias("name"), x["value"].alias("value")))
+    alone = F.array(F.struct(F.lit(0).alias("pos"), text.alias("body"), F.lit(None).cast("string").alias("key")))
+    mapped = _present(F.transform(members, lambda m, i: F.struct(i.alias("pos"), m["value"].alias("body"), m["key"].alias("key"))))
     return (
-        F.when(text.isNull() | (text == ""), _nothing("array<struct<pos:int,name:string,value:double>>"))
-        .when(_kind(text, "["), F.when(one_pair, alone).otherwise(several(_numbered(listed))))
-        .when(_kind(text, "{"), F.when(one_record, alone).otherwise(mapped))
-        .otherwise(several(_split(text)))
+        F.when(text.isNull() | (text == ""), _nothing(_PAIRS))
+        .when(_kind(text, "["), F.when(one_pair, alone).otherwise(bare(_numbered(listed))))
+        .when(_kind(text, "{"), F.when(text.rlike(r'"name"\s*:') & F.array_contains(F.transform(members, lambda m: m["key"]), "name"), alone).otherwise(mapped))
+        .otherwise(bare(_split(text)))
     )
 
 
+def _pair(x: Column) -> Column:
+    """(pos, name, value) of ["name", 0.5], {"name": …, "score"|"n": …}, a mapping's member or a bare name."""
+    body = x["body"]
+    listed, record = strings(body), parse(body, PAIR)
+    name = F.when(x["key"].isNotNull(), x["key"]).when(_kind(body, "["), F.get(listed, F.lit(0))).when(_kind(body, "{"), record["name"]).otherwise(body)
+    value = F.when(x["key"].isNotNull(), body.try_cast("double")).when(_kind(body, "["), F.get(listed, F.lit(1)).try_cast("double")).when(_kind(body, "{"), F.coalesce(record["score"], record["n"], record["count"]))
+    return F.struct(x["pos"].alias("pos"), name.alias("name"), value.alias("value"))
+
+
+def pair_items(text: Column) -> Column:
+    """Named numbers with their positions, names and values."""
+    return F.transform(pair_bodies(text), _pair)
+
+
 def count_items(text: Column) -> Column:
     """Counts by decision type: a mapping, a list of {type, count}, or one of these alone."""
 
@@ -176,15 +180,16 @@ def _fields(names: tuple[str, ...]) -> str:
 
 def read_metrics(segments: DataFrame) -> DataFrame:
     """parent_id and the list-valued parts of segments.metrics_json, as text."""
-    doc = segments.select(F.col("id").alias("parent_id"), readable(F.col("metrics_json")).alias("doc")).filter(F.startswith(F.col("doc"), F.lit("{")))
-    doc = doc.select("parent_id", parse(F.col("doc"), _fields(METRIC_FIELDS)).alias("m"))
+    doc = readable(segments.select(F.col("id").alias("parent_id"), F.col("metrics_json").alias("doc")), "doc")
+    doc = doc.select("parent_id", F.when(_kind(F.col("doc"), "{"), parse(F.col("doc"), _fields(METRIC_FIELDS))).alias("m"))
     return doc.select("parent_id", F.col("m.candidates").alias("candidates"), F.coalesce("m.fn_reasons", "m.fnReasons").alias("fn_reasons"), F.coalesce("m.fp_reasons", "m.fpReasons").alias("fp_reasons"))
 
 
 def read_sessions(sessions: DataFrame) -> DataFrame:
     """parent_id, decision counts, and the numbered face events and devices of each session."""
-    docs = sessions.select(F.col("id").alias("parent_id"), readable(F.col("summary")).alias("summary"), readable(F.col("config")).alias("config"))
-    docs = docs.select("parent_id", parse(F.col("summary"), _fields(SUMMARY_FIELDS)).alias("s"), parse(F.col("config"), _fields(CONFIG_FIELDS)).alias("c"))
+    docs = readable(sessions.select(F.col("id").alias("parent_id"), "summary", "config"), "summary", "config")
+    read = lambda c, fields: F.when(_kind(F.col(c), "{"), parse(F.col(c), _fields(fields)))
+    docs = docs.select("parent_id", read("summary", SUMMARY_FIELDS).alias("s"), read("config", CONFIG_FIELDS).alias("c"))
     docs = docs.select("parent_id", F.coalesce("s.decision_counts", "s.decisionCounts").alias("decision_counts"), parse(F.col("s.face"), "face_fn_events string, faceFnEvents string").alias("f"), F.coalesce("s.face_fn_events", "s.faceFnEvents").alias("flat_events"), F.col("c.devices").alias("devices"))
     docs = docs.select("parent_id", "decision_counts", F.coalesce("f.face_fn_events", "f.faceFnEvents", "flat_events").alias("event_text"), "devices")
     return docs.select("parent_id", "decision_counts", record_items(F.col("event_text"), EVENT_KEYS).alias("events"), record_items(F.col("devices"), DEVICE_KEYS).alias("device_items"))
@@ -200,11 +205,27 @@ def child_table(df: DataFrame, child: str) -> DataFrame:
     return read.select("parent_id", F.inline(_tables(metrics)[child]()))
 
 
+def _positions(metrics: bool) -> dict[str, Column]:
+    """The positions of each kind of child, without reading the records."""
+    c = F.col
+    dotted = lambda parents, field, items: F.flatten(F.transform(parents, lambda p: F.transform(items(parse(p["body"], f"{field} string")[field]), lambda x: _dotted(p["pos"], x["pos"]))))
+    plain = lambda items: F.transform(items, lambda x: x["pos"].cast("string"))
+    if metrics:
+        return {"candidate": plain(pair_bodies(c("candidates"))), "fn_reason": plain(reason_items(c("fn_reasons"))), "fp_reason": plain(reason_items(c("fp_reasons")))}
+    return {
+        "decision_count": F.transform(count_items(c("decision_counts")), lambda x: x["type"]),
+        "face_event": plain(c("events")),
+        "face_vote": dotted(c("events"), "votes", pair_bodies),
+        "device": plain(c("device_items")),
+        "channel": dotted(c("device_items"), "channels", lambda t: record_items(t, CHANNEL_KEYS)),
+    }
+
+
 def all_children(df: DataFrame, metrics: bool) -> DataFrame:
     """(child, parent_id, pos) of every child record of one table, in a single pass."""
     read = read_metrics(df) if metrics else read_sessions(df)
-    tag = lambda child, rows: F.transform(rows, lambda x: F.struct(F.lit(child).alias("child"), x["pos"].alias("pos")))
-    tagged = [tag(child, build()) for child, build in _tables(metrics).items()]
+    tag = lambda child, rows: F.transform(rows, lambda pos: F.struct(F.lit(child).alias("child"), pos.alias("pos")))
+    tagged = [tag(child, rows) for child, rows in _positions(metrics).items()]
     rows = read.select("parent_id", F.inline(F.concat(*tagged)))
     return rows.select("child", "parent_id", "pos")
 
