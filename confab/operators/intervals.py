@@ -115,24 +115,25 @@ def asof_previous(left: DataFrame, right: DataFrame, key: str, at: str, value: s
 
 
 def chunk_windows(streams: DataFrame, key: str) -> DataFrame:
-    """(key, k, start_sec, end_sec, new_from_sec) of all windows that a stream of ``total_sec`` covers.
+    """(key, window, start_sec, end_sec, new_from_sec) of all windows that a stream of ``total_sec`` covers.
 
     The first window has 8 seconds, the second 15; later ones step 5 seconds and
     are new in their last 5 only.
     """
     k = F.explode(F.when(F.col("total_sec") < 8, F.expr("cast(array() as array<bigint>)")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.floor((F.col("total_sec") - 13) / 5), F.lit(0)).cast("bigint"))))
-    w = streams.filter("total_sec >= 8").select(key, "total_sec", k.alias("k"))
-    start = F.when(F.col("k") == 0, 0.0).otherwise(8.0 + 5.0 * (F.col("k") - 1))
-    end = F.when(F.col("k") == 0, 8.0).otherwise(start + 15.0)
-    new = F.when(F.col("k") <= 1, start).otherwise(start + 10.0)
-    return w.select(key, "k", start.alias("start_sec"), end.alias("end_sec"), new.alias("new_from_sec"), "total_sec").filter("end_sec <= total_sec").drop("total_sec")
+    w = streams.filter("total_sec >= 8").select(key, "total_sec", k.alias("window"))
+    n = F.col("window")
+    start = F.when(n == 0, 0.0).otherwise(8.0 + 5.0 * (n - 1))
+    end = F.when(n == 0, 8.0).otherwise(start + 15.0)
+    new = F.when(n <= 1, start).otherwise(start + 10.0)
+    return w.select(key, "window", start.alias("start_sec"), end.alias("end_sec"), new.alias("new_from_sec"), "total_sec").filter("end_sec <= total_sec").drop("total_sec")
 
 
 def low_latency_windows(streams: DataFrame, key: str) -> DataFrame:
     """The same for windows of 4 new seconds after up to 4 seconds of context."""
-    w = streams.filter("total_sec >= 4").select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("total_sec") / 4).cast("bigint") - 1)).alias("k"))
-    new = F.col("k") * 4.0
-    return w.select(key, "k", F.greatest(F.lit(0.0), new - 4.0).alias("start_sec"), (new + 4.0).alias("end_sec"), new.alias("new_from_sec"))
+    w = streams.filter("total_sec >= 4").select(key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("total_sec") / 4).cast("bigint") - 1)).alias("window"))
+    new = F.col("window") * 4.0
+    return w.select(key, "window", F.greatest(F.lit(0.0), new - 4.0).alias("start_sec"), (new + 4.0).alias("end_sec"), new.alias("new_from_sec"))
 
 
 def pad_segments(groups: DataFrame, least_sec: float = 2.0, keep_sec: float = 0.5) -> DataFrame:

@@ -62,20 +62,20 @@ def upsert_sessions(sessions: DataFrame, incoming: DataFrame, children: dict[str
     ``children`` maps table names to tables with session_pk.
     """
     old = sessions.join(incoming.select("session_id"), "session_id", "left_semi").select("id")
-    kept = sessions.join(incoming.select("session_id"), "session_id", "left_anti")
+    kept = sessions.join(incoming.select("session_id"), "session_id", "left_anti").select(sessions.columns)
     last = sessions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     fresh = incoming.withColumn("n", F.row_number().over(Window.orderBy("session_id"))).crossJoin(F.broadcast(last))  # one row
     fresh = fresh.withColumn("id", F.col("last") + F.col("n")).drop("n", "last")
     out = {"sessions": kept.unionByName(fresh.select(kept.columns))}
     for name, child in children.items():
-        out[name] = child.join(old.select(F.col("id").alias("session_pk")), "session_pk", "left_anti")
+        out[name] = child.join(old.select(F.col("id").alias("session_pk")), "session_pk", "left_anti").select(child.columns)
     return out
 
 
 def delete_speakers(speakers: DataFrame, gone: Column, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Speakers without those that match, and their embeddings' tables without theirs."""
     ids = speakers.filter(gone).select(F.col("id").alias("speaker_id"))
-    return {"speakers": speakers.filter(~F.coalesce(gone, F.lit(False)))} | {n: c.join(ids, "speaker_id", "left_anti") for n, c in children.items()}
+    return {"speakers": speakers.filter(~F.coalesce(gone, F.lit(False)))} | {n: c.join(ids, "speaker_id", "left_anti").select(c.columns) for n, c in children.items()}
 
 
 def rename_prefixed(files: DataFrame, old: str, new: str) -> DataFrame:

@@ -31,8 +31,8 @@ def scores(probes: DataFrame, known: DataFrame, key: str, name: str, vector: str
 def best_names(scored: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
     """(key, name, score, margin, accepted): the best name of each probe; equal scores go to the first name."""
     order = Window.partitionBy(key).orderBy(F.desc("score"), name)
-    ranked = scored.withColumn("n", F.row_number().over(order)).withColumn("second", F.lead("score").over(order)).filter("n = 1")
-    return ranked.select(key, name, "score", F.coalesce(F.col("score") - F.col("second"), F.lit(1.0)).alias("margin"), (F.col("score") >= threshold).alias("accepted"))
+    ranked = scored.select(key, name, "score", F.row_number().over(order).alias("_place"), F.lead("score").over(order).alias("_second")).filter("_place = 1")
+    return ranked.select(key, name, "score", F.coalesce(F.col("score") - F.col("_second"), F.lit(1.0)).alias("margin"), (F.col("score") >= threshold).alias("accepted"))
 
 
 def diversity(rows: DataFrame, key: str, vector: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from confab.plans import intervals, problems, reports, store, text, vectors
+from confab.plans import intervals, problems, reports, signals, store, text, vectors
 
-MODULES = (problems, store, intervals, reports, text, vectors)
+MODULES = (problems, store, intervals, reports, text, vectors, signals)
 
 
 def queries() -> dict:

@@ -187,12 +187,12 @@ ORACLE_SQL = {
     "chunk_windows": """
         WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), k AS (SELECT user_id, n, unnest(generate_series(0, n)) AS k FROM t),
         w AS (SELECT user_id, n, k, CASE WHEN k = 0 THEN 0 ELSE 8 + 5 * (k - 1) END AS s FROM k)
-        SELECT user_id, k, CAST(s AS DOUBLE) AS start_sec, CAST(CASE WHEN k = 0 THEN 8 ELSE s + 15 END AS DOUBLE) AS end_sec, CAST(CASE WHEN k <= 1 THEN s ELSE s + 10 END AS DOUBLE) AS new_from_sec
+        SELECT user_id, k AS "window", CAST(s AS DOUBLE) AS start_sec, CAST(CASE WHEN k = 0 THEN 8 ELSE s + 15 END AS DOUBLE) AS end_sec, CAST(CASE WHEN k <= 1 THEN s ELSE s + 10 END AS DOUBLE) AS new_from_sec
         FROM w WHERE CASE WHEN k = 0 THEN 8 ELSE s + 15 END <= n
     """,
     "chunk_windows_low_latency": """
         WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), k AS (SELECT user_id, n, unnest(generate_series(0, n)) AS k FROM t)
-        SELECT user_id, k, CAST(greatest(0, 4 * k - 4) AS DOUBLE) AS start_sec, CAST(4 * k + 4 AS DOUBLE) AS end_sec, CAST(4 * k AS DOUBLE) AS new_from_sec FROM k WHERE 4 * k + 4 <= n
+        SELECT user_id, k AS "window", CAST(greatest(0, 4 * k - 4) AS DOUBLE) AS start_sec, CAST(4 * k + 4 AS DOUBLE) AS end_sec, CAST(4 * k AS DOUBLE) AS new_from_sec FROM k WHERE 4 * k + 4 <= n
     """,
     "recent_mean": "SELECT event_id, round_even(avg(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW) * 1e6, 0) / 1e6 AS score FROM events",
     "frame_diff": """
