@@ -6,6 +6,7 @@ import difflib
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -39,18 +40,8 @@ def gender_of(name: Column) -> Column:
 
 def looping(text: Column) -> Column:
     """Whether some phrase of two to six words comes four times in a row."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} ]", " "), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-
-    def loops(width: int) -> Column:
-        span = lambda s, k: F.slice(words, s + k * width, F.lit(width))
-        starts = F.when(n >= 4 * width, F.sequence(F.lit(1), n - 4 * width + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.exists(starts, lambda s: (span(s, 0) == span(s, 1)) & (span(s, 0) == span(s, 2)) & (span(s, 0) == span(s, 3)))
-
-    out = F.lit(False)
-    for width in range(2, 7):
-        out = out | loops(width)
-    return out
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} ]", " "), r"\s+", " "))
+    return words.rlike(r"(?:^| )(\S++(?: \S++){1,5})(?: \1){3}(?= |$)")
 
 
 def rejection(text: Column, avg_logprob: Column, no_speech: Column) -> Column:
@@ -131,6 +122,17 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether the similarity of two texts is at least so much; cheap upper bounds settle most pairs."""
+    total = len(a) + len(b)
+    if total and 2 * min(len(a), len(b)) / total < least:
+        return False
+    if a == b:
+        return True
+    shared = sum((Counter(a) & Counter(b)).values())
+    return (not total or 2 * shared / total >= least) and ratio(a, b) >= least
+
+
 def title(text: str) -> str:
     """Upper case for the first letter of every run of letters, lower case for the others."""
     return re.sub(r"[^\W\d_]+", lambda m: m.group()[0].upper() + m.group()[1:].lower(), text)

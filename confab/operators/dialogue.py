@@ -6,13 +6,14 @@ feeds it the sorted rows of a session, the streaming form the rows as they come.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict, deque
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from confab.functions.text import ratio
+from confab.functions.text import alike
 
 Row = dict
 
@@ -25,10 +26,8 @@ class RepeatFilter:
         self.kept: deque = deque(maxlen=lines)
 
     def keep(self, at: float, text: str) -> bool:
-        import re
-
         bare = re.sub(r"[^\w\s]", "", text.lower()).strip()
-        if any(at - t <= self.seconds and ratio(bare, other) >= self.likeness for t, other in reversed(self.kept)):
+        if any(at - t <= self.seconds and alike(bare, other, self.likeness) for t, other in reversed(self.kept)):
             return False
         self.kept.append((at, bare))
         return True
