@@ -40,6 +40,8 @@ SELLING = frozenset(
     "buy cheap deal deals discount discounts wholesale price prices store shop free shipping coupon review reviews best top near sale professional original used "
     "barato comprar descuento descuentos oferta precio precios tienda envio gratis cupon opiniones mayoreo linea profesional usado mejor donde".split()
 )
+# Those of them that also come in sentences about something else; one of them alone sells nothing.
+WEAK = frozenset("melhor mejor best onde donde near top vista linea online original originais review reviews usado usados used professional profissional profesional sale free".split())
 # First words of menu entries and of lists of tags, without marks.
 MENU = ("home", "inicio", "produtos", "products", "productos", "categorias", "categories", "categoria", "category", "mapa do site", "sitemap", "site map", "mapa del sitio", "ver mais", "see more", "ver mas", "leia tambem", "read also", "lea tambien", "tambien te puede", "contato", "contact", "contacto", "menu", "related", "relacionados", "more", "mais", "blog")
 TAGS = ("tags", "tag", "marcadores", "etiquetas", "keywords", "palavras-chave", "palabras clave", "labels", "assuntos", "temas", "topics")
@@ -80,8 +82,8 @@ def _piles_up(sentence: list[str]) -> bool:
     twice = Counter(p for p in pairs if max(map(len, p)) >= 4)
     once = Counter(w for w in sentence if len(w) >= 5)
     most = max([*twice.values(), *once.values(), 0])
-    sold = sum(w in SELLING for w in sentence)
-    if most < 2 or most < 3 and not sold:
+    sold = [w for w in sentence if w in SELLING]
+    if most < 2 or most < 3 and len(sold) < 2 and all(w in WEAK for w in sold):
         return False
     covered = [w in SELLING or once[w] >= 2 for w in sentence]
     for k, p in enumerate(pairs):
@@ -97,7 +99,7 @@ def keyword_share(text: str) -> tuple[float, int]:
     entries: list[list[str]] = []  # short entries without an end, judged together
     sentences: list[list[str]] = []
     for line in shown.split("\n"):
-        line = line.strip()
+        line = line.strip().rstrip("`*_~ \t")
         if not line:
             continue
         links = len(URL.findall(line))
@@ -151,7 +153,7 @@ def keyword_share(text: str) -> tuple[float, int]:
                 continue
             if not END.search(part) or len(own) < 3:
                 entries.append(own)
-            elif part.rstrip("\"'”»)]").endswith("?") and len(own) <= 8:
+            elif part.rstrip("\"'”»)]").endswith("?") and len(own) <= 6:
                 if asked:
                     sentences.append(asked)
                 asked = own
