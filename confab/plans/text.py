@@ -116,3 +116,24 @@ ORACLE_SQL = {
         SELECT id, CASE WHEN contains(t, 'sou a ') THEN 'female' WHEN contains(t, 'sou o ') THEN 'male' ELSE 'unknown' END AS gender FROM t
     """,
 }
+
+
+def _filter_sql() -> str:
+    bad = " OR ".join(f"contains(t, '{p.lower().replace(chr(39), chr(39) * 2)}')" for p in W.BAD_PHRASES)
+    exact = ", ".join(f"'{p}'" for p in W.EXACT_PHRASES)
+    same = lambda w: " AND ".join(f"list_slice(ws, s, s + {w} - 1) = list_slice(ws, s + {w} * {k}, s + {w} * {k + 1} - 1)" for k in (1, 2, 3))
+    loop = " OR ".join(f"(len(ws) >= {4 * w} AND len(list_filter(range(1, len(ws) - {4 * w} + 2), lambda s: {same(w)})) > 0)" for w in range(2, 7))
+    return f"""
+        WITH {_SCORED}, p AS (
+            SELECT id, text, lower(text) AS t, lp, ns, list_filter(list_transform(regexp_split_to_array(lower(text), '[.!?,;]+'), lambda x: trim(x)), lambda x: x <> '') AS parts,
+                   regexp_replace(regexp_replace(lower(text), '^[ .!?,;:"''\\-\\[\\]()]+', ''), '[ .!?,;:"''\\-\\[\\]()]+$', '') AS bare,
+                   list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS ws FROM s
+        )
+        SELECT id, CASE WHEN ns > CAST(0.5 AS DOUBLE) THEN 'no_speech' WHEN length(text) < 5 THEN 'short' WHEN {bad} THEN 'phrase' WHEN len(parts) >= 3 AND len(list_distinct(parts)) = 1 THEN 'fragments'
+            WHEN bare IN ({exact}) THEN 'exact' WHEN length(text) < 20 AND (lp < CAST(-0.8 AS DOUBLE) OR ns > CAST(0.3 AS DOUBLE)) THEN 'doubtful' WHEN {loop} THEN 'loop'
+            WHEN len(list_filter(regexp_split_to_array(bare, '\\s+'), lambda x: x <> '')) <= 1 AND length(bare) < 14 AND ns > CAST(0.15 AS DOUBLE) THEN 'word' ELSE 'accepted' END AS verdict FROM p
+    """
+
+
+ORACLE_SQL["transcript_filter"] = _filter_sql()
+

@@ -117,3 +117,33 @@ ORACLE_SQL = {
     """,
     "cluster_assign": f"WITH {_SCORES.format(known='', probes='')} SELECT vec_id, name, round_even(score * 1e6, 0) / 1e6 AS score FROM r WHERE rank = 1",
 }
+
+
+def _cascade_sql() -> str:
+    """The cascade over the same evidence as one CASE in SQL."""
+    from confab.plans.reports import _GENERIC, gender_sql
+
+    generic = lambda n: f"coalesce({_GENERIC.format(n)}, true)"
+    differs = lambda n: f"coalesce(g <> ({gender_sql(n)}), false)"
+    return f"""
+        s AS (SELECT *, 'spk_' || (id % 4) AS face, CASE WHEN id % 5 = 0 THEN 'Person_1' WHEN id % 5 < 3 THEN final_name END AS fname FROM segments WHERE raw_conf IS NOT NULL),
+        e AS (SELECT id, raw_best_name AS rn, raw_conf AS rc, CASE WHEN raw_conf >= CAST(0.6 AS DOUBLE) THEN raw_best_name END AS bn, raw_conf AS bc, CASE WHEN id % 3 = 0 THEN raw_conf - CAST(0.02 AS DOUBLE) END AS sc, audio_gender AS g,
+                     CASE WHEN id % 6 = 1 THEN face END AS ap, CASE WHEN id % 6 = 1 THEN fname END AS an, CASE WHEN id % 2 = 0 THEN face END AS gp, fname AS gn, id % 8 <> 0 AS gok, id % 3 AS faces, CASE WHEN id % 3 = 1 THEN fname END AS fn,
+                     CASE WHEN id % 7 < 4 THEN final_speaker END AS hint, CASE WHEN id % 7 < 2 THEN face END AS hf, CASE WHEN id % 7 = 0 THEN final_name END AS hn, coalesce(CASE WHEN id % 4 <> 0 THEN 1 END <= 1, true) AS alone FROM s),
+        c AS (SELECT *, bn IS NOT NULL AND (coalesce(bc - sc, 1) >= CAST(0.04 AS DOUBLE) OR g IS NOT NULL) AS clear FROM e),
+        k AS (SELECT *, CASE WHEN clear THEN bn END AS ch, CASE WHEN clear THEN bc ELSE 0 END AS cc, rn IS NOT NULL AND rn <> 'Unknown' AND rc >= CAST(0.65 AS DOUBLE) AND NOT {differs('rn')} AS weak,
+                     CASE WHEN hint IS NULL THEN 'SESSION_TRACKER' WHEN hf IS NOT NULL AND hn IS NOT NULL THEN 'SESSION_FACE' ELSE 'SESSION_HINT' END AS ses FROM c),
+        d AS (SELECT *, CASE
+            WHEN ch IS NOT NULL AND cc >= CAST(0.7 AS DOUBLE) AND (cc >= CAST(0.9 AS DOUBLE) OR NOT {differs('ch')}) THEN 'VERIFIER_HIGH' WHEN ch IS NOT NULL AND cc >= CAST(0.8 AS DOUBLE) AND (cc >= CAST(0.9 AS DOUBLE) OR NOT {differs('ch')}) THEN 'VERIFIER_MOD'
+            WHEN weak AND (ap IS NOT NULL OR coalesce(({gender_sql('rn')}) = g, false)) THEN 'VERIFIER_WEAK' WHEN ap IS NOT NULL THEN 'ASD'
+            WHEN weak AND faces = 1 AND NOT {generic('fn')} THEN 'FACE_ONLY' WHEN weak AND faces = 1 THEN 'SINGLE_FACE' WHEN weak THEN ses
+            WHEN faces = 1 AND NOT {generic('fn')} AND alone THEN 'FACE_ONLY' WHEN faces = 1 AND rc >= CAST(0.35 AS DOUBLE) AND alone THEN 'SINGLE_FACE'
+            WHEN faces > 0 AND gp IS NOT NULL AND gok THEN 'ASD_GUESS' ELSE ses END AS decision FROM k)
+    """
+
+
+ORACLE_SQL["decision_cascade"] = f"""
+    WITH {_cascade_sql()}
+    SELECT id, decision, coalesce(CASE WHEN decision IN ('VERIFIER_HIGH', 'VERIFIER_MOD') THEN ch WHEN decision = 'VERIFIER_WEAK' THEN regexp_replace(rn, '[\\s\\x{{00A0}}]+\\d+$', '') WHEN decision = 'ASD' THEN an
+        WHEN decision IN ('FACE_ONLY', 'SINGLE_FACE') THEN fn WHEN decision = 'ASD_GUESS' THEN gn WHEN decision = 'SESSION_FACE' THEN hn END, '') AS speaker_name FROM d
+"""
