@@ -10,6 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions.columns import half_even, unit
+from confab.session import cut
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """The rows with their numbers from 1 in order of a column, without bringing them into one task.
+
+    Rows are range-partitioned; each partition counts its own and starts behind
+    the partitions before it.  Only one row for each partition is looked at together.
+    """
+    parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.join(before, "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")
 
 
 def list_speakers(speakers: DataFrame, voices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -52,8 +66,8 @@ def insert_ignore(speakers: DataFrame, incoming: DataFrame) -> DataFrame:
     """Speakers after inserting names (name, gender, ord); a name that is there, or comes twice, keeps its first gender."""
     fresh = incoming.filter("name is not null").groupBy("name").agg(F.min_by("gender", "ord").alias("gender")).join(speakers.select("name"), "name", "left_anti")
     last = speakers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("name"))).crossJoin(F.broadcast(last))  # one row
-    return speakers.select("id", "name", "gender").unionByName(numbered.select((F.col("last") + F.col("n")).alias("id"), "name", "gender"))
+    placed = numbered(fresh, "name", "_n").crossJoin(F.broadcast(last))  # one row
+    return speakers.select("id", "name", "gender").unionByName(placed.select((F.col("last") + F.col("_n")).alias("id"), "name", "gender"))
 
 
 def upsert_sessions(sessions: DataFrame, incoming: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -64,8 +78,8 @@ def upsert_sessions(sessions: DataFrame, incoming: DataFrame, children: dict[str
     old = sessions.join(incoming.select("session_id"), "session_id", "left_semi").select("id")
     kept = sessions.join(incoming.select("session_id"), "session_id", "left_anti").select(sessions.columns)
     last = sessions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    fresh = incoming.withColumn("n", F.row_number().over(Window.orderBy("session_id"))).crossJoin(F.broadcast(last))  # one row
-    fresh = fresh.withColumn("id", F.col("last") + F.col("n")).drop("n", "last")
+    fresh = numbered(incoming, "session_id", "_n").crossJoin(F.broadcast(last))  # one row
+    fresh = fresh.withColumn("id", F.col("last") + F.col("_n")).drop("_n", "last")
     out = {"sessions": kept.unionByName(fresh.select(kept.columns))}
     for name, child in children.items():
         out[name] = child.join(old.select(F.col("id").alias("session_pk")), "session_pk", "left_anti").select(child.columns)
