@@ -322,35 +322,27 @@ def _large_neighbours(large: DataFrame, sketched: DataFrame, vectors: DataFrame,
     """Neighbours in neighbourhoods of more than GROUP rows.
 
     Copies collapse first: of equal vectors only the k + 1 smallest ids walk the
-    curves, which are all that can be among the k most similar of any row; the
-    other copies take over the answer of the smallest.
+    curves, which are all that can be among the k most similar of any row; a
+    copy that does not walk has k smaller copies of cosine 1, its answer.
     """
     full = large.join(vectors, "node").withColumn("copy", F.struct("component", F.xxhash64("embedding").alias("h"), F.hash("embedding").alias("g")))
-    ranked = full.select("node", "copy", F.row_number().over(_by_copy()).alias("place")).filter(F.col("place") <= k + 1)
-    walkers = cut(ranked)
+    first = Window.partitionBy("copy").orderBy("node")
+    walkers = cut(full.select("node", "copy", F.row_number().over(first).alias("place")).filter(F.col("place") <= k + 1))
     keyed = walkers.join(sketched.select("node", "keys"), "node").join(vectors, "node")
     exploded = keyed.select(F.col("copy.component").alias("component"), "node", "embedding", F.posexplode("keys").alias("curve", "key")).withColumn("walk", F.xxhash64("component", "curve"))
     along = exploded.repartitionByRange(n, "walk", "key").sortWithinPartitions("walk", "key", "node").select("walk", "node", "embedding").mapInArrow(_walk(k + 1, least), FOUND)
 
-
     once = along.select("node", "neighbour", "similarity").distinct()
     order = Window.partitionBy("node").orderBy(F.desc("similarity"), "neighbour")
     best = cut(once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1))
     own = best.filter(F.col("rank") <= k)
-    heads = walkers.filter("place = 1").select("copy", F.col("node").alias("head"))
-    rest = full.select("node", "copy").join(walkers.select("node"), "node", "left_anti").join(heads, "copy")
+    rest = full.select("node", "copy").join(walkers.select("node"), "node", "left_anti")
     copies = walkers.filter(F.col("place") <= k).select("copy", F.col("node").alias("neighbour"), F.lit(1.0).alias("similarity"))
     taken = rest.join(copies, "copy").select("node", "neighbour", "similarity")  # a copy that doesn't walk has k + 1 smaller copies
     taken = taken.withColumn("rank", F.row_number().over(order))
     return own.select("node", "neighbour", "similarity", "rank").unionByName(taken.select("node", "neighbour", "similarity", "rank"))
 
 
-def _by_copy():
-
-
-    return Window.partitionBy("copy").orderBy("node")
-
-
 def similar_pairs(voice: DataFrame, face: DataFrame, k: int = 5, least: float = 0.70) -> DataFrame:
     """(modality, id_a, id_b), id_a < id_b: pairs of cosine ``least`` or more of which one is among the other's k most similar."""
     near = neighbours({0: (voice, 192), 1: (face, 512)}, k, least)
