@@ -4,9 +4,9 @@ Every name is rewritten to all of its canonical forms: honorifics, roles and
 legal forms go, nicknames become given names, initials stand for names, logins
 and "family, given" turn back to token order, sounds that are spelled in several
 ways get one spelling, and each family name appears with every single letter
-left out.  Forms are exploded and equi-joined.  A form is evidence by its
-rarity: one that RARE or fewer spellings share makes a pair a candidate, a
-common one only together with the second family name.  Candidates are then
+left out.  Forms are exploded and equi-joined: all spellings that share a form
+are candidates, those of a form that more than RARE share in parts, without
+pairs whose descent or given names already differ.  Candidates are then
 compared token by token; complete names link directly, shortened ones (an
 initial, one family name) join a person only if no second person fits.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from confab.llm.components import components
 from confab.session import cut
 
-RARE = 64  # spellings that may share a form for it to be evidence alone
+RARE = 64  # spellings of a form that meet in one group; more are dealt into parts
 AT_ONCE = 1024  # spellings whose forms Python holds at once
 LEAST = 4  # letters of a family name that may be misspelled
 
@@ -338,6 +338,16 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["key", "form"])
 
 
+def _tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """kind and given: names of two kinds, or of two sets of given names without a common one, compare as different; null may be like any."""
+    for batch in batches:
+        out = []
+        for key, p in zip(batch["key"], map(parse, batch["spelling"])):
+            open_ = p[0] == "org" or p[5] or len(p[2]) == 1 or not p[1]
+            out.append((key, "org" if p[0] == "org" else f"person {p[4] or ''}", None if open_ else [*sorted(p[1]), f"~{p[2]}", f"~{p[2][:-1]}"]))
+        yield pd.DataFrame(out, columns=["key", "kind", "given"])
+
+
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         batch["same"] = [compare(parse(a), parse(b)) for a, b in zip(batch["spelling_a"], batch["spelling_b"])]
@@ -361,11 +371,22 @@ def candidates(keys: DataFrame) -> DataFrame:
     rare = cut(exploded.join(shared, "form"))
     few = rare.filter(F.col("n") <= RARE).select("form", "key", "n")
     pairs = few.alias("l").join(few.alias("r"), "form").filter(F.col("l.key") < F.col("r.key")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"), F.col("l.n").alias("n"))
-    # forms of two family names that more spellings share: each meets the form's first spelling, which stands for the others
-    many = rare.filter((F.col("n") > RARE) & F.col("form").rlike("^[^:]+:[^:]+:"))
-    hubs = many.groupBy("form").agg(F.min("key").alias("hub"))
-    star = many.join(hubs, "form").filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"), "n")
-    return pairs.unionByName(star).groupBy("a", "b").agg((F.lit(total) - F.log(F.min("n"))).alias("score"))
+    return pairs.unionByName(common_pairs(keys, rare.filter(F.col("n") > RARE))).groupBy("a", "b").agg((F.lit(total) - F.log(F.min("n"))).alias("score"))
+
+
+def common_pairs(keys: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b, n) of all spellings that share a common form, but for those that compare() tells apart by descent or given name.
+
+    A form's spellings are dealt into parts of about RARE; each two parts meet in a group of their own.
+    """
+    told = keys.join(many.select("key").distinct(), "key", "left_semi").select("key", "spelling").mapInPandas(_tell, "key bigint, kind string, given array<string>")
+    parts = F.ceil(F.col("n") / RARE)
+    dealt = many.join(told, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    left = dealt.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence("part", F.col("parts") - 1)))
+    right = dealt.withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "part"))).select("form", "kind", "i", "j", F.col("key").alias("other"), F.col("given").alias("other_given"))
+    met = left.join(right, ["form", "kind", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("key") < F.col("other")))
+    like = met.filter(F.col("given").isNull() | F.col("other_given").isNull() | F.arrays_overlap("given", "other_given"))
+    return like.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), "n")
 
 
 def variant_groups(speakers: DataFrame) -> DataFrame:

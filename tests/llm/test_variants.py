@@ -39,3 +39,22 @@ def test_common_forms_need_the_second_family_name(spark, monkeypatch):
     names = [f"Ana Silva {x}" for x in ("Corvoleta", "Dantelurro", "Erlimbado", "Fortunquel")] + ["Ana Silva Corvolleta"]
     df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
     assert {(r.id_a, r.id_b) for r in V.variant_pairs(df).collect()} == {(0, 4)}
+
+
+def test_common_forms_lose_no_pair(spark, monkeypatch):
+    names = ["Ana Silva", "A. Silva", "asilva", "Ana Sillva", "Antonio Silva", "Abel Silva Neto", "Andreia Silva", "Ana Silva Corvoleta", "Ana Silva Corvolleta", "Ana Silva Corvoleta Neto", "Ana Sliva Crvoleta", "Robert Silva Dantelu", "Roberto Silva Dantelu", "Rober Silva", "Silva Corvo Ltda", "Silva & Corvo Ltda.", "Ana Dorerel", "adorerel", "Ana Dorrerel"]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    keys = V.spellings(df)[0].cache()
+    spelled = {r.key: r.spelling for r in keys.collect()}
+    alike = lambda: {(r.a, r.b) for r in V.candidates(keys).collect() if V.compare(V.parse(spelled[r.a]), V.parse(spelled[r.b]))}
+    small, want = alike(), {(r.id_a, r.id_b) for r in V.variant_pairs(df).collect()}
+    monkeypatch.setattr(V, "RARE", 2)
+    assert alike() == small and {(0, 1), (7, 8), (16, 17)} <= small
+    assert {(r.id_a, r.id_b) for r in V.variant_pairs(df).collect()} == want
+
+
+def test_more_than_64_spellings_of_a_form(spark):
+    family = [f"Silva{a}{b}" for a in "bcdfgjlm" for b in "aeiou"]
+    names = [f"Ana Dorerel {f.lower()}" for f in family] + [f"Bia Dorerel {f.lower()}x" for f in family] + [f"Alice Dorerel {f.lower()}r" for f in family] + ["Augusto Dorerel", "Augustto Dorerel"]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    assert (120, 121) in {(r.id_a, r.id_b) for r in V.variant_pairs(df).collect()}
