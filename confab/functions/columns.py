@@ -71,3 +71,25 @@ def clean_file_name(base: Column) -> Column:
     """A stored voice's person: without one _auto or _fvbind and a trailing time stamp."""
     bare = F.regexp_replace(base, r"(_auto|_fvbind)$", "")
     return F.when(F.size(F.split(bare, "_")) >= 3, F.regexp_replace(bare, r"^(.+)_\d+_\d+$", "$1")).otherwise(bare)
+
+
+def event_time(text: Column) -> Column:
+    """Seconds since the epoch of the notations found in the field, or null.
+
+    Dates with times in ISO or day-first order, epoch seconds or milliseconds; a
+    time of day without a date gives the seconds since midnight (below 86400).
+    """
+    t = F.trim(text)
+    iso = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "Z$", ""), "T", " "))
+    day_first = F.try_to_timestamp(F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})[ T]+", "$3-$2-$1 "))
+    number = F.when(t.rlike(r"^\d{10}(\.\d+)?$"), t.try_cast("double")).when(t.rlike(r"^\d{13}$"), t.try_cast("double") / 1000)
+    seconds = lambda c: F.unix_micros(c) / 1e6
+    clock = F.regexp_extract(t, r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$", 1).try_cast("int") * 3600 + F.regexp_extract(t, r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$", 2).try_cast("int") * 60 + F.regexp_extract(t, r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$", 3).try_cast("double")
+    return F.coalesce(number, clock, F.when(t.rlike(r"^\d{4}-"), seconds(iso)), F.when(t.rlike(r"^\d{1,2}/"), seconds(day_first)))
+
+
+def clock_of(text: Column, unknown: str = "--:--:--") -> Column:
+    """HH:mm:ss of a time in any notation of event_time; unknown where there is none."""
+    at = F.floor(event_time(text))
+    of_day = F.format_string("%02d:%02d:%02d", F.floor(at / 3600), F.floor(at / 60) % 60, at % 60)
+    return F.coalesce(F.when(at < 86400, of_day).otherwise(F.date_format(F.timestamp_seconds(at), "HH:mm:ss")), F.lit(unknown))

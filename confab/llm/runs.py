@@ -18,28 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from confab.functions.columns import event_time
 from confab.llm.labels import canonical_labels, label_keys
 
 BLOCK = 4096  # positions of one block; bounds the rows of one group and the alphabet of one string
 FIRST_SYMBOL = 0x3400  # code points from here on stand for labels; all of them are single UTF-16 units
 BREAK = "-"  # stands for a null label, which no run may hold
-
-
-def event_time(text: Column) -> Column:
-    """Seconds since the epoch of the notations found in the field, or null.
-
-    Dates with times in ISO or day-first order, epoch seconds or milliseconds; a
-    time of day without a date gives the seconds since midnight (below 86400).
-    """
-    t = F.trim(text)
-    iso = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "Z$", ""), "T", " "))
-    day_first = F.try_to_timestamp(F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})[ T]+", "$3-$2-$1 "))
-    number = F.when(t.rlike(r"^\d{10}(\.\d+)?$"), t.try_cast("double")).when(t.rlike(r"^\d{13}$"), t.try_cast("double") / 1000)
-    seconds = lambda c: F.unix_micros(c) / 1e6
-    clock = F.regexp_extract(t, r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$", 1).try_cast("int") * 3600 + F.regexp_extract(t, r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$", 2).try_cast("int") * 60 + F.regexp_extract(t, r"^(\d{1,2}):(\d{2}):(\d{2}(?:\.\d+)?)$", 3).try_cast("double")
-    return F.coalesce(number, clock, F.when(t.rlike(r"^\d{4}-"), seconds(iso)), F.when(t.rlike(r"^\d{1,2}/"), seconds(day_first)))
-
-
 DAY = 86400
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from confab.functions.columns import decision_type as type_of
-from confab.functions.columns import half_even, is_generic, strip_homonym
+from confab.functions.columns import clock_of, half_even, is_generic, strip_homonym
 from confab.operators import reports
 from confab.session import table
 
@@ -66,6 +66,13 @@ def transcript_text(spark, d):
     return reports.transcript_text(e, "session_pk", ["seg_index", "id"])
 
 
+def transcript_full(spark, d):
+    """Every entry of each session, whatever the notation of its time; transcript_text keeps the ISO times that its SQL twin can say."""
+    s = table(spark, d, "segments").withColumn("unplaced", F.col("seg_index").isNull())
+    e = s.select("session_pk", "unplaced", "seg_index", "id", clock_of(F.col("timestamp")).alias("clock"), F.col("final_name").alias("name"), F.coalesce("final_speaker", F.lit("?")).alias("speaker"), "text", F.coalesce(F.col("raw_conf") < 0.3, F.lit(False)).alias("uncertain"))
+    return reports.transcript_text(e, "session_pk", ["unplaced", "seg_index", "id"])
+
+
 def fn_report(spark, d):
     """The header and the events of each session's report of missed voices."""
     s = table(spark, d, "segments").filter("is_fn = 1 and seg_index is not null and decision is not null")
@@ -92,7 +99,7 @@ def llm_prompt_lines(spark, d):
     return last.groupBy("session_pk").agg(F.array_join(lines, "\n").alias("lines"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (session_summary, decision_histogram, face_metrics, decision_type, generic_names, fn_reasons, fp_risk, fn_events, label_projection, transcript_text, fn_report, unnamed_speakers, llm_prompt_lines)}
+QUERIES = {f.__name__: f for f in (session_summary, decision_histogram, face_metrics, decision_type, generic_names, fn_reasons, fp_risk, fn_events, label_projection, transcript_text, transcript_full, fn_report, unnamed_speakers, llm_prompt_lines)}
 
 
 def _names(words) -> str:
