@@ -31,7 +31,7 @@ def box_suppression(spark, d):
 
 
 def _signals(spark, d):
-    rows = table(spark, d, "speakers").filter("id % 4 = 0").select("id", (F.lit(90.0) + F.col("id") % 150).alias("hz"))
+    rows = table(spark, d, "speakers").select("id", (F.lit(90.0) + F.col("id") % 150).alias("hz"))
     return rows.select("id", "hz", F.transform(F.sequence(F.lit(0), F.lit(15999)), lambda i: F.sin(i * F.col("hz") * 2 * 3.141592653589793 / 16000) * 0.3 + F.sin(i * F.col("hz") * 4 * 3.141592653589793 / 16000) * 0.1).alias("signal"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from confab.functions.columns import clock_of
-from confab.plans import reports
+from confab.plans import reports, signals
 
 
 def test_clock_of_every_notation(spark):
@@ -18,3 +18,8 @@ def test_transcript_has_every_segment(spark, data):
     assert got.count() == rows.count()
     assert got.filter("line like '[--:--:--]%'").count() == rows.filter("timestamp is null").count()
 
+
+def test_signals_of_every_speaker(spark, data):
+    n = spark.read.parquet(f"{data}/speakers.parquet").count()
+    assert signals.pitch_gender(spark, data).count() == n and signals.loudness(spark, data).count() == n
+
