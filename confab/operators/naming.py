@@ -13,16 +13,17 @@ from confab.functions.columns import is_generic
 from confab.operators.dialogue import fold
 
 
-def last_speakers(named: DataFrame, mentioned: DataFrame, expected: int) -> DataFrame:
+def last_speakers(named: DataFrame, mentioned: DataFrame, expected: int | None = None) -> DataFrame:
     """(session_pk, speaker, name): where all speakers but one are named and one mentioned name is free, it is theirs.
 
     ``named`` has session_pk, speaker, name (a generic name for those unknown);
-    ``mentioned`` session_pk, name.
+    ``mentioned`` session_pk, name.  Where no number is ``expected``, each session's own number of speakers is.
     """
     own = named.select("session_pk", "speaker", "name").distinct()
-    counts = own.groupBy("session_pk").agg(F.count_distinct(F.when(~is_generic(F.col("name")), F.col("speaker"))).alias("known"), F.count_distinct(F.when(is_generic(F.col("name")), F.col("speaker"))).alias("unknown"), F.min(F.when(is_generic(F.col("name")), F.col("speaker"))).alias("speaker"))
+    counts = own.groupBy("session_pk").agg(F.count_distinct(F.when(~is_generic(F.col("name")), F.col("speaker"))).alias("known"), F.count_distinct(F.when(is_generic(F.col("name")), F.col("speaker"))).alias("unknown"), F.min(F.when(is_generic(F.col("name")), F.col("speaker"))).alias("speaker"), F.count_distinct("speaker").alias("speakers"))
+    number = F.col("speakers") if expected is None else F.lit(expected)
     free = mentioned.select("session_pk", "name").distinct().join(own.select("session_pk", "name"), ["session_pk", "name"], "left_anti").groupBy("session_pk").agg(F.count("*").alias("free"), F.min("name").alias("name"))
-    return counts.filter((F.col("known") == expected - 1) & (F.col("unknown") == 1)).join(free.filter("free = 1"), "session_pk").select("session_pk", "speaker", "name")
+    return counts.filter((F.col("known") == number - 1) & (F.col("unknown") == 1)).join(free.filter("free = 1"), "session_pk").select("session_pk", "speaker", "name")
 
 
 def answered(answers: DataFrame, named: DataFrame) -> DataFrame:

@@ -22,6 +22,12 @@ def last_speaker(spark, d):
     return naming.last_speakers(named, mentioned, 3)
 
 
+def last_speaker_all(spark, d):
+    """Over all speakers of each session and their names as stored; last_speaker reads the three labels that its SQL twin names."""
+    mentioned = table(spark, d, "sessions").select(F.col("id").alias("session_pk"), F.concat(F.lit("Convidada "), (F.col("id") % 9).cast("string")).alias("name"))
+    return naming.last_speakers(_named(spark, d), mentioned)
+
+
 def llm_answers(spark, d):
     answers = table(spark, d, "sessions").select(F.col("id").alias("session_pk"), F.concat(F.lit('Aqui: {"spk_020": "ana lima", "spk_099": "maria souza", "spk_098": 5, "spk_097": "x"} fim')).alias("answer"))
     return naming.answered(answers, _named(spark, d))
@@ -60,7 +66,7 @@ def token_codes(spark, d):
     return words.select("id", "n", codes.token_hash("token").alias("hash"), codes.shape("token").alias("shape"), codes.python_repr("token").alias("repr"), F.left("token", F.lit(1)).alias("prefix"), F.right("token", F.lit(3)).alias("suffix"))
 
 
-QUERIES = {f.__name__: f for f in (last_speaker, llm_answers, powerset_decode, name_sets, speaking_states, face_persons, merged_turns, token_codes)}
+QUERIES = {f.__name__: f for f in (last_speaker, last_speaker_all, llm_answers, powerset_decode, name_sets, speaking_states, face_persons, merged_turns, token_codes)}
 
 _NAMED = "n AS (SELECT session_pk, final_speaker AS speaker, max(final_name) AS name FROM segments WHERE final_speaker IS NOT NULL GROUP BY 1, 2)"
 _GENERIC = "coalesce(regexp_full_match({0}, '(Person_\\d+|spk_\\d+|Desconhecido_\\d+|Unknown|Unknown_\\d+)'), true)"

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from confab.functions.columns import clock_of
+from confab.operators import naming
+from confab.plans import naming as named_queries
 from confab.plans import reports, signals
 
 
@@ -23,3 +25,9 @@ def test_signals_of_every_speaker(spark, data):
     n = spark.read.parquet(f"{data}/speakers.parquet").count()
     assert signals.pitch_gender(spark, data).count() == n and signals.loudness(spark, data).count() == n
 
+
+def test_last_speaker_takes_the_number_from_the_session(spark, data):
+    named = spark.createDataFrame([(1, "a", "Ana"), (1, "b", "spk_001"), (2, "a", "Ana"), (2, "b", "Bia"), (2, "c", "Caio"), (2, "d", None), (3, "a", "Person_1"), (3, "b", "Person_2"), (4, "a", "Ana")], "session_pk bigint, speaker string, name string")
+    heard = spark.createDataFrame([(i, "Davi") for i in (1, 2, 3, 4)], "session_pk bigint, name string")
+    assert sorted(tuple(r) for r in naming.last_speakers(named, heard).collect()) == [(1, "b", "Davi"), (2, "d", "Davi")]
+    assert {r.speaker for r in named_queries.last_speaker_all(spark, data).collect()} <= {r[0] for r in spark.read.parquet(f"{data}/segments.parquet").select("final_speaker").distinct().collect()}
