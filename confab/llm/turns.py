@@ -1,8 +1,8 @@
 """Speech transcripts to clean turns of one speaker each, in spoken order.
 
 A transcript is read line by line in the layout that most of its lines have.
-Aho-Corasick automata find annotations, hesitation sounds and headings in the
-text; rules on what stands around a match decide doubtful ones (a hesitation is
+Aho-Corasick automata find annotations and headings in the text; hesitation
+sounds are looked up word by word and labels read by patterns; rules on what stands around a match decide doubtful ones (a hesitation is
 a whole word, an annotation has brackets or is a note of music); the matched
 spans are subtracted from the line's span, and what is left is speech.  Labels
 are resolved among the participants of their session, and windows over the
