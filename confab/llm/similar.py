@@ -133,26 +133,19 @@ def _joined(near: np.ndarray, labels: np.ndarray, first: int) -> np.ndarray:
     """The smallest label that each label is joined to by the near pairs.
 
     ``near`` tells which columns a row is near to, rows are the columns from
-    ``first`` on, and columns of one label are joined already.  A round joins
-    the smallest and the largest label near each row, until there is but one.
+    ``first`` on, and columns of one label are joined already.
     """
-    parent = np.arange(int(labels.max()) + 1)
-    while True:
-        now = parent[labels]
-        order = np.argsort(now, kind="stable")
-        sorted_near, sorted_labels = near[:, order], now[order]
-        low, high = sorted_labels[sorted_near.argmax(axis=1)], sorted_labels[len(order) - 1 - sorted_near[:, ::-1].argmax(axis=1)]
-        if (low == high).all():
-            return parent
-        mine = now[first:]
-        for x, y in np.unique(np.concatenate([np.stack([low, high], 1), np.stack([low, mine], 1)]), axis=0).tolist():
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            parent[max(x, y)] = min(x, y)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
+    parent, width = np.arange(int(labels.max()) + 1), near.shape[1]
+    for at in range(0, len(near), 256):  # bounds the pairs held at once where all rows are near each other
+        flat = np.flatnonzero(near[at : at + 256])
+        a, b = parent[labels[first + at + flat // width]], parent[labels[flat % width]]
+        while (apart := a != b).any():
+            low, high = np.minimum(a[apart], b[apart]), np.maximum(a[apart], b[apart])
+            np.minimum.at(parent, high, low)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            a, b = parent[low], parent[high]
+    return parent
 
 
 def _window_links(least_seen: float):
@@ -167,7 +160,6 @@ def _window_links(least_seen: float):
             if before is not None and before[0] == curve:
                 roots, others, first = np.concatenate([before[1], nodes]), np.concatenate([before[2], sketches]), len(before[1])
             near = (sketches @ others.T) >= least_seen
-            near[np.arange(len(nodes)), first + np.arange(len(nodes))] = True
             known, labels = np.unique(roots, return_inverse=True)
             parent = _joined(near, labels, first)
             before = (curve, known[parent[labels[first:]]], sketches)
