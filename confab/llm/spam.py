@@ -3,11 +3,17 @@
 Measure: a text is cut into blocks; each block's compression ratio is compared
 with that of all blocks of its language and length in the corpus (median and
 spread by language and length class, pre-aggregated over all documents).  A
-document whose redundancy is extreme for its length and language, or that
-has few sentence ends for its words, is a candidate.  Confirmation reads the
-candidate entry by entry: entries that end no sentence and pile up words, link
-entries, menu entries, tags and sentences made of repeated key phrases count
-against the words in sentences, and a page is spam where they are the most.
+document with a block whose redundancy is extreme for its length and language
+is flagged, and confirmed where it has few sentence ends for its words; an end
+that comes again behind the same word counts once, so sentences that repeat a
+key phrase don't pass for prose.  Both must hold.
+
+An exact check follows: a confirmed document is read entry by entry - repeated
+words of entries that end no sentence, links, marked tags, prices and sentences
+that repeat their own phrases against words in other sentences - and is spam
+where the former are the most.  It knows layout and repetition only, no words
+of any subject.  It runs in the same pass over the texts as the measure, for
+texts with few sentence ends, so texts are read once and never shuffled.
 
 Defined cases: null, empty, blank and very short texts are never spam; copies
 are judged alike; null or unknown languages form a class of their own; lists
@@ -22,30 +28,20 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confab.session import cut
+
 BLOCK_CHARS = 1500  # characters of one block
-REDUNDANT = 1.5  # spreads above the median of its language and length that make a block extreme
-FEW_ENDS = 0.045  # sentence ends a word below which a text hardly has sentences
+REDUNDANT = 0.9  # spreads above the median of its language and length that make a block extreme
+FEW_ENDS = 0.06  # different sentence ends a word below which a text hardly has sentences
 LEAST_WORDS = 5
-LEAST_BLOCKS = 50  # blocks from which a language and length class has figures of its own
+PROSE = (1.0, 12, 0.13)  # compression ratio of ordinary prose at a length class, and its growth a class; the most that a class's median may be
+PRIOR = 50  # blocks of all languages that a language and length class counts beside its own
 MOST_OF = 0.5
 
-# Words of selling, in Portuguese, English and Spanish, without marks.
-SELLING = frozenset(
-    "comprar compre compra barato barata oferta ofertas promocao promocoes desconto descontos atacado varejo preco precos loja lojas gratis frete cupom online usado usados original originais profissional vista onde melhor "
-    "buy cheap deal deals discount discounts wholesale price prices store shop free shipping coupon review reviews best top near sale professional original used "
-    "barato comprar descuento descuentos oferta precio precios tienda envio gratis cupon opiniones mayoreo linea profesional usado mejor donde".split()
-)
-# Those of them that also come in sentences about something else; one of them alone sells nothing.
-WEAK = frozenset("melhor mejor best onde donde near top vista linea online original originais review reviews usado usados used professional profissional profesional sale free".split())
-# First words of menu entries and of lists of tags, without marks.
-MENU = ("home", "inicio", "produtos", "products", "productos", "categorias", "categories", "categoria", "category", "mapa do site", "sitemap", "site map", "mapa del sitio", "ver mais", "see more", "ver mas", "leia tambem", "read also", "lea tambien", "tambien te puede", "contato", "contact", "contacto", "menu", "related", "relacionados", "more", "mais", "blog")
-TAGS = ("tags", "tag", "marcadores", "etiquetas", "keywords", "palavras-chave", "palabras clave", "labels", "assuntos", "temas", "topics")
-
 INVISIBLE = re.compile("[­͏؜᠎​‌‍⁠﻿]")
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
 MARKUP = re.compile(r"<a\s[^>]*>|</a>|\]\(|<[^<>]{1,200}>")
@@ -78,14 +74,13 @@ def _repeats(words: list[str]) -> float:
 
 
 def _piles_up(sentence: list[str]) -> bool:
+    """Whether a sentence says the same thing three times, and hardly anything else."""
     pairs = list(zip(sentence, sentence[1:]))
     twice = Counter(p for p in pairs if max(map(len, p)) >= 4)
     once = Counter(w for w in sentence if len(w) >= 5)
-    most = max([*twice.values(), *once.values(), 0])
-    sold = [w for w in sentence if w in SELLING]
-    if most < 2 or most < 3 and len(sold) < 2 and all(w in WEAK for w in sold):
+    if max([*twice.values(), *once.values(), 0]) < 3:
         return False
-    covered = [w in SELLING or once[w] >= 2 for w in sentence]
+    covered = [once[w] >= 2 for w in sentence]
     for k, p in enumerate(pairs):
         if twice[p] >= 2:
             covered[k] = covered[k + 1] = True
@@ -120,30 +115,19 @@ def keyword_share(text: str) -> tuple[float, int]:
             junk += len(words)
             total += len(words)
             continue
-        head = low.lstrip(" -*•>#")
-        listed = next((t for t in TAGS if head.startswith(t) and head[len(t) : len(t) + 1] in (":", ",", " ", ";", "|")), None)
-        if listed and not END.search(line):
-            junk += len(words)
-            total += len(words)
-            continue
         if PRICE.search(low) and ("|" in line or " - " in line or "•" in line) and not re.search(r"[^\W\d_]{3,}[.!?]$", line):
             junk += len(words)
             total += len(words)
             continue
-        if not END.search(line) and len(words) <= 14 and any(head.startswith(m) and not head[len(m) : len(m) + 1].isalnum() for m in MENU):
-            junk += len(words)
-            total += len(words)
-            continue
         if DATA.match(line):
             total += len(words)
             continue
         if not END.search(line):
             items = [i for i in SEPARATORS.split(line) if i]
             if len(words) >= 9 and (len(items) >= 4 and len(words) <= 6 * len(items) or not re.search(r"[.!?…]\s", line)):
-                selling = sum(w in SELLING for w in words) / len(words)
                 underscored = len(re.findall(r"\w+[_-]\w+", line)) / len(items) if items else 0
                 total += len(words)
-                if _repeats(words) >= 0.3 or selling >= 0.08 or underscored >= 0.5:
+                if _repeats(words) >= 0.3 or underscored >= 0.5:
                     junk += len(words)
                 continue
         asked: list[str] = []  # a short question goes with the sentence that answers it
@@ -162,12 +146,12 @@ def keyword_share(text: str) -> tuple[float, int]:
                 asked = []
         if asked:
             sentences.append(asked)
-    # short entries are key words where many of them come again or sell; a few entries are headings
+    # short entries are key words where many of them come again; a few entries are headings
     flat = [w for own in entries for w in own]
     total += len(flat)
-    if len(entries) >= 5 and len(flat) <= 8 * len(entries) and (_repeats(flat) >= 0.45 or sum(w in SELLING for w in flat) >= 0.06 * len(flat)):
+    if len(entries) >= 5 and len(flat) <= 8 * len(entries) and _repeats(flat) >= 0.45:
         junk += len(flat)
-    # a sentence is made of key phrases where it says the same thing again and again, or sells it
+    # a sentence is made of key phrases where it says the same thing again and again
     total += sum(map(len, sentences))
     junk += sum(len(s) for s in sentences if _piles_up(s))
     return (junk / total if total else 0.0), total
@@ -183,51 +167,57 @@ def block_ratios(text: str) -> list[tuple[int, float]]:
     return out
 
 
-def _length_class(n: int) -> int:
-    return int(np.log2(max(n, 1)) * 2)
-
+def sentence_ends(text: str, words: int) -> float:
+    """Different sentence ends a word; numbers of lists and abbreviations end nothing."""
+    ends = {e.lower() for e in SENTENCE_END.findall(URL.sub(" ", text) if "://" in text or "www." in text.lower() else text)}
+    return len(ends - ABBREVIATIONS) / max(1, words)
 
-def sentence_ends(text: str) -> float:
-    """Sentence ends a word; numbers of lists and abbreviations end nothing."""
-    ends = SENTENCE_END.findall(URL.sub(" ", text))
-    return sum(e.lower() not in ABBREVIATIONS for e in ends) / max(1, len(WORD.findall(text)))
 
+MEASURED = "doc_id bigint, lang string, sizes array<int>, ratios array<double>, confirmed boolean, read boolean"
 
-MEASURED = "doc_id bigint, lang string, blocks array<struct<size:int,cls:int,ratio:double>>, ends double, words int"
 
-
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for i, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"]):
-            blocks = [{"size": n, "cls": _length_class(n), "ratio": r} for n, r in block_ratios(text)]
-            rows.append((i, lang if lang is not None else "?", blocks, sentence_ends(text), len(WORD.findall(text))))
-        yield pd.DataFrame(rows, columns=["doc_id", "lang", "blocks", "ends", "words"])
+        sizes, ratios, confirmed, read = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            blocks = block_ratios(text)
+            sizes.append([n for n, _ in blocks])
+            ratios.append([r for _, r in blocks])
+            words = len(WORD.findall(text))
+            few = words >= LEAST_WORDS and sentence_ends(text, words) < FEW_ENDS
+            share, counted = keyword_share(text) if few else (0.0, 0)
+            confirmed.append(few)
+            read.append(counted >= LEAST_WORDS and share > MOST_OF)
+        arrays = [batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.list_(pa.int32())), pa.array(ratios, pa.list_(pa.float64())), pa.array(confirmed), pa.array(read)]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", "sizes", "ratios", "confirmed", "read"])
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        keep = [i for i, text in zip(batch["doc_id"], batch["text"]) if (s := keyword_share(text))[1] >= LEAST_WORDS and s[0] > MOST_OF]
-        yield pd.DataFrame({"doc_id": keep})
+def length_class(size: Column) -> Column:
+    """Half octaves of bytes."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1))) * 2)
 
 
 def redundancy(documents: DataFrame) -> DataFrame:
-    """(doc_id, excess, ends, words): mean excess of the blocks' compression over their language and length class, in spreads."""
-    texts = documents.filter("text is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    measured = texts.mapInPandas(_measure, MEASURED)
-    blocks = measured.select("doc_id", "lang", "ends", "words", F.explode_outer("blocks").alias("b")).select("doc_id", "lang", "ends", "words", "b.size", "b.cls", "b.ratio")
-    quartiles = [F.percentile_approx("ratio", [0.25, 0.5, 0.75], 200).alias("q"), F.count("*").alias("n")]
-    own = blocks.filter("ratio is not null").groupBy("lang", "cls").agg(*quartiles)
-    # a language that is rare in its length class is measured against all languages of that length
-    whole = blocks.filter("ratio is not null").groupBy("cls").agg(quartiles[0].alias("all_q"))
-    q = F.when(F.col("n") >= LEAST_BLOCKS, F.col("q")).otherwise(F.col("all_q"))
-    usual = own.join(whole, "cls").select("lang", "cls", q[1].alias("median"), F.greatest((q[2] - q[0]) / 1.349, q[1] * 0.02).alias("spread"))
-    excess = blocks.join(usual, ["lang", "cls"], "left").withColumn("excess", (F.col("ratio") - F.col("median")) / F.col("spread"))
-    return excess.groupBy("doc_id").agg((F.sum(F.col("excess") * F.col("size")) / F.sum("size")).alias("excess"), F.max("excess").alias("worst"), F.first("ends").alias("ends"), F.first("words").alias("words"))
+    """(doc_id, excess, confirmed, read): the largest excess of a block's compression over its language and length class, in spreads.
+
+    Medians are at most what PROSE says.  A language's quartiles in a length class are drawn to those of all languages
+    of that length with the weight of PRIOR blocks, so rare classes have figures
+    too.  ``confirmed`` tells few sentence ends, ``read`` the exact check.
+    """
+    texts = documents.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("lang"), F.col("text").cast("string").alias("text"))
+    measured = cut(texts.mapInArrow(_measure, MEASURED))
+    blocks = measured.select("doc_id", "lang", "confirmed", "read", F.inline(F.arrays_zip("sizes", "ratios"))).select("doc_id", "lang", "confirmed", "read", length_class(F.col("sizes")).alias("cls"), F.col("ratios").alias("ratio"))
+    quartiles = F.percentile_approx("ratio", [0.25, 0.5, 0.75], 200)
+    own = blocks.groupBy("lang", "cls").agg(quartiles.alias("q"), F.count("*").alias("n"))
+    whole = blocks.groupBy("cls").agg(quartiles.alias("all_q"))
+    drawn = [(F.col("n") * F.col("q")[k] + PRIOR * F.col("all_q")[k]) / (F.col("n") + PRIOR) for k in range(3)]
+    # a class filled with spam or copies must not set its own yardstick
+    median = F.least(drawn[1], PROSE[0] + PROSE[2] * (F.col("cls") - PROSE[1]))
+    usual = own.join(whole, "cls").select("lang", "cls", median.alias("median"), F.least(F.greatest((drawn[2] - drawn[0]) / 1.349, median * 0.02), median * 0.1).alias("spread"))
+    excess = (F.col("ratio") - F.col("median")) / F.col("spread")
+    return blocks.join(usual, ["lang", "cls"]).groupBy("doc_id").agg(F.max(excess).alias("excess"), F.max("confirmed").alias("confirmed"), F.max("read").alias("read"))
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
-    """(doc_id) of the pages most of whose words are key words, links, menu entries or tags."""
-    suspects = redundancy(documents).filter((F.col("words") >= LEAST_WORDS) & ((F.col("worst") >= REDUNDANT) | (F.col("ends") < FEW_ENDS)))
-    texts = documents.filter("text is not null").select("doc_id", "text").join(suspects.select("doc_id"), "doc_id", "left_semi")
-    return texts.mapInPandas(_confirm, "doc_id bigint")
+    """(doc_id) of the pages that are extremely redundant, have few sentence ends, and consist for the most part of key words, links or tags."""
+    return redundancy(documents).filter((F.col("excess") >= REDUNDANT) & F.col("confirmed") & F.col("read")).select("doc_id")
