@@ -52,20 +52,33 @@ SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[.*_\-][^\W_]){2,}(?![^\W_])")
 PRICE = re.compile(r"(?:r\$|us\$|\$|€|£)\s?\d|\d\s?(?:€|eur\b|usd\b|brl\b)|\d+\s?%\s?(?:off|desc)|\bref\.?\s?[a-z0-9-]{3,}", re.I)
 DATA = re.compile(r"^\s*(?:[\w.]+\s*=\s*\S+.*|\[?\d{1,2}:\d{2}.*|\d+[.)]\s+(?:[A-ZÀ-Ý][\w'’.-]+\s+){1,5}[-–—]\s*\w+.*|.*\b\w+=\S+\s+\w+=\S+.*|={5,}|-{5,}|[-*]?\s*\d+\s*x\s+.*)$")
 LEET = str.maketrans("013457@$", "oieastas")
-SENTENCE_END = re.compile(r"([^\W\d_]{2,})[\"'”»)\]]*[.!?…]+[\"'”»)\]]*(?=\s|$)")
+ENDING = re.compile(r"[.!?…]+[\"'”»)\]]*(?=\s|$)")
+ENDED = re.compile(r"([^\W\d_]{2,})[\"'”»)\]]*$")
 ABBREVIATIONS = frozenset("ref art sr sra dr dra prof vs etc nr no tel max min aprox approx".split())
 SEPARATORS = re.compile(r"\s*[,;|•·»>/\n]\s*|\s+[-–—]\s+")
 
 
+MASKED = re.compile(r"[^\W\d_][013457@$]|[013457@$][^\W\d_]")
+DISGUISED = re.compile(r"[\w@$]*[013457@$][\w@$]*")
+COUNTED = re.compile(r"^\d+[a-z]{1,2}$|\d{2}")  # "4k" and "1080p" are no disguise
+MARKS = re.compile("[\u0300-\u036f]+")  # the only ones before U+0483
+
+
 def unmasked(text: str) -> str:
     """The text as a reader sees it: compatible forms, no invisible signs, letters for look-alike digits inside words."""
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = SPELLED.sub(lambda m: re.sub(r"[.*_\-]", "", m.group()) if re.search(r"[^\W\d_]", m.group()) else m.group(), text)
-    return re.sub(r"[\w@$]+", lambda m: m.group().translate(LEET) if re.search(r"[^\W\d_]", m.group()) and re.search(r"[^\W\d_][013457@$]|[013457@$][^\W\d_]", m.group()) and not re.match(r"^\d+[a-z]{1,2}$", m.group()) and not re.search(r"\d{2}", m.group()) else m.group(), text)
+    if MASKED.search(text) is None:
+        return text
+    return DISGUISED.sub(lambda m: m.group().translate(LEET) if MASKED.search(m.group()) and not COUNTED.search(m.group()) else m.group(), text)
 
 
 def _fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    low = text.lower()
+    if low.isascii():
+        return low
+    apart = MARKS.sub("", unicodedata.normalize("NFKD", low))
+    return apart if max(apart, default="") < "\u0483" else "".join(c for c in apart if not unicodedata.combining(c))
 
 
 def _repeats(words: list[str]) -> float:
@@ -169,7 +182,14 @@ def block_ratios(text: str) -> list[tuple[int, float]]:
 
 def sentence_ends(text: str, words: int) -> float:
     """Different sentence ends a word; numbers of lists and abbreviations end nothing."""
-    ends = {e.lower() for e in SENTENCE_END.findall(URL.sub(" ", text) if "://" in text or "www." in text.lower() else text)}
+    if "://" in text or "www." in text.lower():
+        text = URL.sub(" ", text)
+    ends = set()
+    for m in ENDING.finditer(text):
+        at = m.start()
+        last = ENDED.search(text[max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1 : at])
+        if last is not None:
+            ends.add(last.group(1).lower())
     return len(ends - ABBREVIATIONS) / max(1, words)
 
 
