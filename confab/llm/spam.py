@@ -58,6 +58,7 @@ ABBREVIATIONS = frozenset("ref art sr sra dr dra prof vs etc nr no tel max min a
 SEPARATORS = re.compile(r"\s*[,;|•·»>/\n]\s*|\s+[-–—]\s+")
 
 
+APART = re.compile(r"[.*_\-][^\W_][.*_\-]")
 MASKED = re.compile(r"[^\W\d_][013457@$]|[013457@$][^\W\d_]")
 DISGUISED = re.compile(r"[\w@$]*[013457@$][\w@$]*")
 COUNTED = re.compile(r"^\d+[a-z]{1,2}$|\d{2}")  # "4k" and "1080p" are no disguise
@@ -66,8 +67,10 @@ MARKS = re.compile("[\u0300-\u036f]+")  # the only ones before U+0483
 
 def unmasked(text: str) -> str:
     """The text as a reader sees it: compatible forms, no invisible signs, letters for look-alike digits inside words."""
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = SPELLED.sub(lambda m: re.sub(r"[.*_\-]", "", m.group()) if re.search(r"[^\W\d_]", m.group()) else m.group(), text)
+    if not text.isascii():
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    if APART.search(text) is not None:
+        text = SPELLED.sub(lambda m: re.sub(r"[.*_\-]", "", m.group()) if re.search(r"[^\W\d_]", m.group()) else m.group(), text)
     if MASKED.search(text) is None:
         return text
     return DISGUISED.sub(lambda m: m.group().translate(LEET) if MASKED.search(m.group()) and not COUNTED.search(m.group()) else m.group(), text)
@@ -88,6 +91,8 @@ def _repeats(words: list[str]) -> float:
 
 def _piles_up(sentence: list[str]) -> bool:
     """Whether a sentence says the same thing three times, and hardly anything else."""
+    if len(sentence) - len(set(sentence)) < 2:
+        return False
     pairs = list(zip(sentence, sentence[1:]))
     twice = Counter(p for p in pairs if max(map(len, p)) >= 4)
     once = Counter(w for w in sentence if len(w) >= 5)
@@ -110,7 +115,7 @@ def keyword_share(text: str) -> tuple[float, int]:
         line = line.strip().rstrip("`*_~ \t")
         if not line:
             continue
-        links = len(URL.findall(line))
+        links = len(URL.findall(line)) if "://" in line or "www." in line.lower() else 0
         if links:
             rest = MARKUP.sub(" ", URL.sub(" ", re.sub(r"<a\s[^>]*>", lambda m: " ", line)))
             words = WORD.findall(_fold(rest))
@@ -123,16 +128,16 @@ def keyword_share(text: str) -> tuple[float, int]:
         words = WORD.findall(low)
         if not words:
             continue
-        tagged = re.findall(r"(?<!\w)#\w+", line)
+        tagged = re.findall(r"(?<!\w)#\w+", line) if "#" in line else ()
         if len(tagged) >= 3 and 2 * len(tagged) >= len(line.split()):
             junk += len(words)
             total += len(words)
             continue
-        if PRICE.search(low) and ("|" in line or " - " in line or "•" in line) and not re.search(r"[^\W\d_]{3,}[.!?]$", line):
+        if ("|" in line or " - " in line or "•" in line) and PRICE.search(low) and not re.search(r"[^\W\d_]{3,}[.!?]$", line):
             junk += len(words)
             total += len(words)
             continue
-        if DATA.match(line):
+        if (line[0] in "[-*" or line[0].isdigit() or "=" in line) and DATA.match(line):
             total += len(words)
             continue
         if not END.search(line):
@@ -144,8 +149,9 @@ def keyword_share(text: str) -> tuple[float, int]:
                     junk += len(words)
                 continue
         asked: list[str] = []  # a short question goes with the sentence that answers it
-        for part in CUT.split(line):
-            own = WORD.findall(_fold(part))
+        parts = CUT.split(line)
+        for part in parts:
+            own = WORD.findall(_fold(part)) if len(parts) > 1 else words
             if not own:
                 continue
             if not END.search(part) or len(own) < 3:
