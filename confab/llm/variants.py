@@ -1,14 +1,18 @@
 """Variant spellings of names typed by people, linked by their canonical rewritings.
 
 Every name is rewritten to all of its canonical forms: honorifics, roles and
-legal forms go, nicknames become given names, initials stand for names, logins
-and "family, given" turn back to token order, sounds that are spelled in several
-ways get one spelling, and each family name appears with every single letter
-left out.  Forms are exploded and equi-joined: all spellings that share a form
-are candidates, those of a form that more than RARE share in parts, without
-pairs whose descent or given names already differ.  Candidates are then
-compared token by token; complete names link directly, shortened ones (an
-initial, one family name) join a person only if no second person fits.
+legal forms go, nicknames become given names, initials stand for names, logins,
+joined names and "family, given" turn back to token order, sounds that are
+spelled in several ways get one spelling, and each family name appears with
+letters left out.  Forms are exploded and equi-joined.  Complete names meet by a
+given name, a family name and an end of the other one; shortened ones (an
+initial, one family name, a login) meet all others by a family name and the
+given name or its initial.  A pair's score is the rarity of its rarest shared
+rewriting: the logarithm of all spellings over those that share it.
+
+An exact check compares the candidates token by token.  Complete names link
+directly; a shortened one joins the person whom it fits best - first by the
+check, then by the score - and nobody where two fit equally.
 
 Defined cases: null, blank and generic labels of the app match nothing; equal
 spellings match each other; suffixes of descent and different given names tell
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 from confab.llm.components import components
 from confab.session import cut
 
-RARE = 64  # spellings of a form that meet in one group; more are dealt into parts
+RARE = 256  # spellings of a form on one side of a task; those of a commoner form are dealt into parts, none is left out
 AT_ONCE = 1024  # spellings whose forms Python holds at once
+JOINED = 10  # letters from which a word may be a whole name without blanks
 LEAST = 4  # letters of a family name that may be misspelled
 
 # Given names in Portuguese and English, without marks.
@@ -136,12 +141,15 @@ def givens(token: str) -> frozenset[str]:
 
 def _word(token: str, words: dict[str, str]) -> str | None:
     """The class of a word in a list of fixed values, slips of long words included."""
-    if token in words:
-        return words[token]
-    if len(token) >= 6:
-        for w, kind in words.items():
-            if len(w) >= 6 and distance(token, w, 2) <= (2 if len(w) >= 9 else 1):
-                return kind
+    return words[token] if token in words else _near_word(token, id(words)) if len(token) >= 6 else None
+
+
+@lru_cache(200_000)
+def _near_word(token: str, which: int) -> str | None:
+    words = next(w for w in (DESCENT, LEGAL, KINDS, SECTORS) if id(w) == which)
+    for w, kind in words.items():
+        if len(w) >= 6 and distance(token, w, 2) <= (2 if len(w) >= 9 else 1):
+            return kind
     return None
 
 
@@ -222,6 +230,16 @@ def _alike(a: str, b: str) -> bool:
     return distance(x, y, most) <= most or distance(a, b, most) <= most
 
 
+def heads(p: tuple) -> set[str]:
+    """First letters of the given names that a name may stand for, as written and as said."""
+    return {h for n in (*p[1], p[2]) for h in (n[0], sound(n)[:1]) if h}
+
+
+def joined(p: tuple) -> str:
+    """A person's name without blanks."""
+    return p[2] + "".join(p[3])
+
+
 def complete(p: tuple) -> bool:
     """A name that stands for one person by itself: a full given name and two full family names, or an organisation."""
     if p[0] == "org":
@@ -250,7 +268,6 @@ def compare(a: tuple, b: tuple) -> int:
     # given names
     initial = len(a[2]) == 1 or len(b[2]) == 1 or a[5] or b[5]
     if initial:
-        heads = lambda p: {n[0] for n in p[1]} | {p[2][0]}
         if not heads(a) & heads(b):
             return 0
     elif a[1] and b[1]:
@@ -267,6 +284,8 @@ def compare(a: tuple, b: tuple) -> int:
         login, other = (x, y) if a[5] else (y, x)
         if a[5] and b[5]:
             return 2 if distance(x[1], y[1], 1) <= 1 else 0
+        if len(login[1]) >= JOINED and distance(sound(login[1]), sound(joined(b if a[5] else a)), 2) <= 2:
+            return 2
         return 1 if any(_alike(login[0], t) for t in other) else 0
     left, hits, missed = list(y), 0, []
     for t in x:
@@ -303,49 +322,60 @@ def sameness(a: tuple, b: tuple) -> int:
     return 2 * len(alike) + len(heard - {sound(t) for t in alike})
 
 
-def forms(p: tuple) -> list[str]:
-    """All canonical rewritings of a parsed name, as join keys."""
-    cuts = lambda s: {s} | ({s[:i] + s[i + 1 :] for i in range(len(s))} if len(s) >= LEAST else set())
+def _without(word: str, most: int) -> set[str]:
+    """A word, and the word with up to ``most`` letters left out; short words stay as they are."""
+    out = {word}
+    if len(word) >= LEAST:
+        out |= {word[:i] + word[i + 1 :] for i in range(len(word))}
+    if most > 1 and len(word) >= 6:
+        out |= {word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(len(word)) for j in range(i + 1, len(word))}
+    return out
+
+
+def forms(p: tuple) -> tuple[set[str], set[str]]:
+    """All canonical rewritings of a parsed name as join keys: those by which complete names meet, and those that shortened names share with any."""
     if p[0] == "org":
         own = [t for t in p[1] if len(t) > 1]
-        single = {f"o:{c}" for t in own for c in cuts(t)}
-        joint = {f"oo:{c}:{u}" for t in own for u in own if t != u for c in cuts(t)}
-        return sorted(single | joint)
-    heads = {h for n in (*p[1], p[2]) for h in (n[0], sound(n)[:1]) if h}
-    own = sorted({sound(t) for t in p[3] if len(t) > 1})
-    single = {f"{h}:{c}" for h in heads for t in own for c in cuts(t)}
-    joint = {f"{g}:{c}:{u}" for g in (sorted(p[1]) or [sound(p[2])]) for t in own for u in own if t != u for c in cuts(t)} if not p[5] else set()
-    return sorted(single | joint)
+        single = {f"o:{c}" for t in own for c in _without(t, 1)}
+        return single, single
+    said = sorted({sound(t) for t in p[3] if len(t) > 1})
+    given = sorted(p[1]) or [sound(p[2])]
+    whole = set()
+    if not p[5]:
+        for t in said:
+            ends = {e for u in said if u != t for e in (f"<{u[0]}", f"{u[-1]}>")}
+            whole |= {f"{g}:{c}:{e}" for g in given for c in _without(t, 1) for e in ends}
+    short = {f"{h}:{c}" for h in heads(p) for t in (*said, *(t for t in p[3] if len(t) > 1)) for c in _without(t, 1)}
+    short |= {f"{g}::{c}" for g in p[1] for t in said for c in _without(t, 2)}
+    name = p[3][1] if p[5] else joined(p)
+    if len(name) >= JOINED:
+        short |= {f"j:{c}" for c in _without(sound(name), 1)}
+    return whole, short
+
+
+CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 
 
 def _spelling(name: str) -> str:
-    return " ".join(_letters(name).split())
+    bare = unicodedata.normalize("NFC", name).strip()
+    if not re.search(r"\s", bare):
+        bare = CAMEL.sub(" ", bare)  # a name typed without blanks
+    return " ".join(_letters(bare).split())
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    columns = ["name", "spelling", "complete", "loose", "whole", "short"]
+    for part in (batch.iloc[at : at + AT_ONCE] for batch in batches for at in range(0, len(batch), AT_ONCE)):
         rows = []
-        for i, name in zip(batch["id"], batch["name"]):
-            if name is None or (p := parse(_spelling(name))) is None:
+        for name in part["name"]:
+            spelling = _spelling(name)
+            if (p := parse(spelling)) is None:
                 continue
-            rows.append((i, _spelling(name), complete(p)))
-        yield pd.DataFrame(rows, columns=["id", "spelling", "complete"])
-
-
-def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in (batch.iloc[at : at + AT_ONCE] for batch in batches for at in range(0, len(batch), AT_ONCE)):
-        out = [(key, f) for key, spelling in zip(part["key"], part["spelling"]) for f in forms(parse(spelling))]
-        yield pd.DataFrame(out, columns=["key", "form"])
-
-
-def _tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """kind and given: names of two kinds, or of two sets of given names without a common one, compare as different; null may be like any."""
-    for batch in batches:
-        out = []
-        for key, p in zip(batch["key"], map(parse, batch["spelling"])):
-            open_ = p[0] == "org" or p[5] or len(p[2]) == 1 or not p[1]
-            out.append((key, "org" if p[0] == "org" else f"person {p[4] or ''}", None if open_ else [*sorted(p[1]), f"~{p[2]}", f"~{p[2][:-1]}"]))
-        yield pd.DataFrame(out, columns=["key", "kind", "given"])
+            full = complete(p)
+            whole, short = forms(p)
+            # a given name that no list knows may be misspelled, so it meets others like a shortened one
+            rows.append((name, spelling, full, not full or p[0] == "person" and not p[1], sorted(whole) if full else [], sorted(short)))
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,37 +386,46 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b", "same", "exact", "score", "whole_a", "whole_b"]]
 
 
-def spellings(speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, spelling, complete) once for each written form, and (id, key) of every row that bears a name."""
-    read = cut(speakers.select("id", F.col("name").cast("string").alias("name")).filter("id is not null").mapInPandas(_rewrite, "id bigint, spelling string, complete boolean"))
-    keys = cut(read.groupBy("spelling").agg(F.min("id").alias("key"), F.first("complete").alias("complete")))
-    return keys, read.join(keys.select("spelling", "key"), "spelling").select("id", "key").distinct()
+REWRITTEN = "name string, spelling string, complete boolean, loose boolean, whole array<string>, short array<string>"
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """(a, b, score) of spellings that share a form; the score adds the rarity of the shared forms' rarest."""
-    exploded = keys.select("key", "spelling").mapInPandas(_explode, "key bigint, form string").distinct()
-    total = math.log(max(keys.count(), 2))
-    shared = exploded.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1")
-    rare = cut(exploded.join(shared, "form"))
-    few = rare.filter(F.col("n") <= RARE).select("form", "key", "n")
-    pairs = few.alias("l").join(few.alias("r"), "form").filter(F.col("l.key") < F.col("r.key")).select(F.col("l.key").alias("a"), F.col("r.key").alias("b"), F.col("l.n").alias("n"))
-    return pairs.unionByName(common_pairs(keys, rare.filter(F.col("n") > RARE))).groupBy("a", "b").agg((F.lit(total) - F.log(F.min("n"))).alias("score"))
+def spellings(speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, spelling, complete, loose, whole, short) once for each written form, forms as hashes, and (id, key) of every row that bears a name.
 
+    Each name is rewritten once, however many rows bear it.
+    """
+    rows = speakers.select(F.col("id").cast("bigint").alias("id"), F.col("name").cast("string").alias("name")).filter("id is not null and name is not null")
+    names = rows.groupBy("name").agg(F.min("id").alias("first"))
+    n = max(int(speakers.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x)).alias(c)
+    read = names.select("name").repartition(n, "name").mapInPandas(_rewrite, REWRITTEN).select("name", "spelling", "complete", "loose", hashed("whole"), hashed("short"))
+    read = cut(read.join(names, "name"))
+    best = lambda c: F.min_by(c, "first").alias(c)
+    keys = cut(read.groupBy("spelling").agg(F.min("first").alias("key"), *(best(c) for c in ("complete", "loose", "whole", "short"))))
+    written = read.select("name", "spelling").join(keys.select("spelling", "key"), "spelling")
+    return keys, rows.join(written, "name").select("id", "key").distinct()
+
+
+def _pairs(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
+    """(a, b, n) of a key of ``left`` and one of ``right`` (key, form) that share a form; n is how many keys of ``right`` share it.
+
+    A common form's left keys are dealt into parts, and its right keys go to each
+    part, so no task holds all pairs of a form.  With ``both``, the sides are the same.
+    """
+    sizes = right.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1")
+    few = left.groupBy("form").agg(F.ceil(F.count("*") / RARE).alias("parts")).join(sizes, "form")
+    one = left.join(few, "form").select("form", F.col("key").alias("a"), F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"))
+    other = right.join(few, "form").select("form", F.col("key").alias("b"), "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    met = one.join(other, ["form", "part"]).filter("a < b" if both else "a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
 
-def common_pairs(keys: DataFrame, many: DataFrame) -> DataFrame:
-    """(a, b, n) of all spellings that share a common form, but for those that compare() tells apart by descent or given name.
 
-    A form's spellings are dealt into parts of about RARE; each two parts meet in a group of their own.
-    """
-    told = keys.join(many.select("key").distinct(), "key", "left_semi").select("key", "spelling").mapInPandas(_tell, "key bigint, kind string, given array<string>")
-    parts = F.ceil(F.col("n") / RARE)
-    dealt = many.join(told, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    left = dealt.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence("part", F.col("parts") - 1)))
-    right = dealt.withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "part"))).select("form", "kind", "i", "j", F.col("key").alias("other"), F.col("given").alias("other_given"))
-    met = left.join(right, ["form", "kind", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("key") < F.col("other")))
-    like = met.filter(F.col("given").isNull() | F.col("other_given").isNull() | F.arrays_overlap("given", "other_given"))
-    return like.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), "n")
+def candidates(keys: DataFrame) -> DataFrame:
+    """(a, b, score) of spellings that share a form, scored by the rarity of the rarest one; two complete names meet by their own forms only."""
+    total = math.log(max(keys.count(), 2))
+    whole, short = keys.select("key", F.explode("whole").alias("form")), keys.select("key", "loose", F.explode("short").alias("form"))
+    met = _pairs(whole, whole, True).unionByName(_pairs(short.filter("loose").select("key", "form"), short.select("key", "form"), False))
+    return met.groupBy("a", "b").agg((F.lit(total) - F.log(F.min("n"))).alias("score"))
 
 
 def variant_groups(speakers: DataFrame) -> DataFrame:
@@ -399,10 +438,10 @@ def variant_groups(speakers: DataFrame) -> DataFrame:
     person = keys.select("key", "complete").join(firm.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "complete", F.coalesce("component", "key").alias("person"))
     whole = person.filter("complete").select(F.col("key").alias("whole"), "person")
     # shortened names: those that fit one person only join it
-    short = judged.filter("whole_a <> whole_b").select(F.when(F.col("whole_a"), F.col("b")).otherwise(F.col("a")).alias("key"), F.when(F.col("whole_a"), F.col("a")).otherwise(F.col("b")).alias("whole"), F.struct("same", "exact").alias("fit"), "score")
-    fits = short.join(whole, "whole").groupBy("key", "person").agg(F.max("fit").alias("fit"), F.max("score").alias("score"))
+    short = judged.filter("whole_a <> whole_b").select(F.when(F.col("whole_a"), F.col("b")).otherwise(F.col("a")).alias("key"), F.when(F.col("whole_a"), F.col("a")).otherwise(F.col("b")).alias("whole"), F.struct("same", "exact", F.round("score", 6).alias("score")).alias("fit"))
+    fits = short.join(whole, "whole").groupBy("key", "person").agg(F.max("fit").alias("fit"))
     strength = Window.partitionBy("key")
-    # a family name spelled alike goes before one that needs a slip
+    # a family name spelled alike goes before one that needs a slip, a rarer rewriting before a common one
     best = fits.withColumn("top", F.max("fit").over(strength)).filter("fit = top").groupBy("key").agg(F.count("*").alias("persons"), F.min("person").alias("person"))
     joined = cut(best.filter("persons = 1").select("key", "person"))
     # what is left links among itself where the given names and a family name are full
