@@ -93,10 +93,20 @@ def sound(token: str) -> str:
 
 
 @lru_cache(200_000)
+def _letter_set(word: str) -> int:
+    return sum({1 << (ord(c) & 63) for c in word})
+
+
 def distance(a: str, b: str, most: int = 3) -> int:
     """Insertions, deletions, replacements and swaps of neighbours from a to b; most + 1 where it is more."""
-    if abs(len(a) - len(b)) > most:
+    x, y = _letter_set(a), _letter_set(b)  # each change brings at most one letter that the other word lacks
+    if abs(len(a) - len(b)) > most or (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
         return most + 1
+    return _distance(a, b, most)
+
+
+@lru_cache(200_000)
+def _distance(a: str, b: str, most: int) -> int:
     two, one = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -398,7 +408,7 @@ def spellings(speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = rows.groupBy("name").agg(F.min("id").alias("first"))
     n = max(int(speakers.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x)).alias(c)
-    read = names.select("name").repartition(n, "name").mapInPandas(_rewrite, REWRITTEN).select("name", "spelling", "complete", "loose", hashed("whole"), hashed("short"))
+    read = names.select("name").repartition(n, F.xxhash64("name")).mapInPandas(_rewrite, REWRITTEN).select("name", "spelling", "complete", "loose", hashed("whole"), hashed("short"))
     read = cut(read.join(names, "name"))
     best = lambda c: F.min_by(c, "first").alias(c)
     keys = cut(read.groupBy("spelling").agg(F.min("first").alias("key"), *(best(c) for c in ("complete", "loose", "whole", "short"))))
@@ -413,10 +423,11 @@ def _pairs(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
     part, so no task holds all pairs of a form.  With ``both``, the sides are the same.
     """
     sizes = right.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1")
-    few = left.groupBy("form").agg(F.ceil(F.count("*") / RARE).alias("parts")).join(sizes, "form")
+    # merge joins: what is small as shuffled bytes is large as a broadcast table, and grows with the names
+    few = left.groupBy("form").agg(F.ceil(F.count("*") / RARE).alias("parts")).hint("merge").join(sizes.hint("merge"), "form").hint("merge")
     one = left.join(few, "form").select("form", F.col("key").alias("a"), F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"))
     other = right.join(few, "form").select("form", F.col("key").alias("b"), "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    met = one.join(other, ["form", "part"]).filter("a < b" if both else "a <> b")
+    met = one.hint("merge").join(other.hint("merge"), ["form", "part"]).filter("a < b" if both else "a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
 
 
