@@ -1,12 +1,16 @@
 """Speech transcripts to clean turns of one speaker each, in spoken order.
 
-A transcript is read line by line in the layout that most of its lines have.
-Aho-Corasick automata find annotations and headings in the text; hesitation
-sounds are looked up word by word and labels read by patterns; rules on what stands around a match decide doubtful ones (a hesitation is
-a whole word, an annotation has brackets or is a note of music); the matched
-spans are subtracted from the line's span, and what is left is speech.  Labels
-are resolved among the participants of their session, and windows over the
-utterances - blocks of bounded size, joined at their borders - build the turns.
+A transcript is read line by line in the layout that most of its lines have: a
+layout's marks say where a label stands.  One Aho-Corasick automaton finds the
+words of sound annotations and the hesitation sounds, whatever their length, in
+one pass over a text (letters drawn out count once); an automaton of the
+headings' first words reads headings, and one of the session's own labels tells
+labels from speech before a colon.  Rules on what stands around a match decide
+doubtful ones (a hesitation is a whole word, an annotation has brackets or is a
+note of music); the matched spans are subtracted from the line's span, and what
+is left is speech.  Labels are resolved among the participants of their
+session, and windows over the utterances - blocks of bounded size, joined at
+their borders - build the turns.
 
 Defined cases
   * utterances without speech are removed first and separate nothing;
@@ -46,18 +50,19 @@ HEADINGS = ("participantes", "participants", "participante", "presentes", "atten
 
 CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[.,](\d{1,3}))?"
 LAYOUTS = {
-    "bracket": re.compile(rf"^\s*\[{CLOCK}\]\s*([^:]{{1,80}}?)\s*:(?!\d)\s?(.*)$"),
-    "behind": re.compile(rf"^\s*([^:]{{1,80}}?)\s*[\(\[]{CLOCK}[\)\]]\s*:\s?(.*)$"),
-    "voice": re.compile(r"^\s*<v(?:\.[\w.]+)?\s+([^>]{1,80}?)\s*>(.*?)(?:</v>)?\s*$"),
-    "dash": re.compile(rf"^\s*\({CLOCK}\)\s*(.{{1,80}}?)\s+[-–—]\s(.*)$"),
-    "bars": re.compile(rf"^\s*{CLOCK}\s*\|\s*([^|]{{1,80}}?)\s*\|\s?(.*)$"),
-    "plain": re.compile(r"^\s*([^\s\d\[\(<*{♪:#=][^:]{0,70}?)\s*:\s(.*)$"),
+    "bracket": re.compile(rf"^\s*\[{CLOCK}\]\s*([^:]+?)\s*:(?!\d)\s?(.*)$"),
+    "behind": re.compile(rf"^\s*([^:]+?)\s*[\(\[]{CLOCK}[\)\]]\s*:\s?(.*)$"),
+    "voice": re.compile(r"^\s*<v(?:\.[\w.]+)?\s+([^>]+?)\s*>(.*?)(?:</v>)?\s*$"),
+    "dash": re.compile(rf"^\s*\({CLOCK}\)\s*(.+?)\s+[-–—]\s(.*)$"),
+    "bars": re.compile(rf"^\s*{CLOCK}\s*\|\s*([^|]+?)\s*\|\s?(.*)$"),
+    "plain": re.compile(r"^\s*([^\s\d\[\(<*{♪:#=][^:]*?)\s*:\s(.*)$"),
 }
 OPENINGS = {"[": "bracket", "(": "dash", "<": "voice"}  # the layout that a line's first sign tells
 MARK = re.compile(rf"^\s*[\[\(]?{CLOCK}[\]\)]?\s*$")
+MOST_HEADING = max(map(len, HEADINGS))
 CUE = re.compile(rf"^\s*{CLOCK}\s*-->\s*{CLOCK}")
 ROLE = re.compile(r"\s*[\(\[][^\(\)\[\]]*[\)\]]\s*$")
-BRACKETS = re.compile(r"\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*\n]{1,40}\*|♪[^♪]*♪|[♪♫♬]+")
+BRACKETS = re.compile(r"\(\([^()]*\)\)|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\*[^*\n]+\*|♪[^♪]*♪|[♪♫♬]+")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 DAY = 86400
 AT_ONCE = 256  # transcripts whose utterances Python holds at once
@@ -77,65 +82,98 @@ def _automaton(words) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for w in words:
         automaton.add_word(w, w)
-    automaton.make_automaton()
+    if len(automaton):
+        automaton.make_automaton()
     return automaton
 
 
-_NOTES, _HEADS = _automaton(ANNOTATIONS), _automaton(HEADINGS)
-_SOUNDS = frozenset(HESITATIONS)
+def _squeezed(word: str) -> str:
+    return DOUBLED.sub(r"\1", word)
 
 
-def _squeezed(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", word)
+DOUBLED = re.compile(r"(.)\1+", re.S)
+OUTSIDE = re.compile(r"(?<![^\W_])[-'’]|[-'’](?![^\W_])|[^\w'’-]|_")  # what is no part of a word
+DOUBTFUL = frozenset(("um", "e", "o", "a", "an", "ha", "er", "oh", "ah", "m", "mm"))  # sounds that are words too
+_HEADS = _automaton(HEADINGS)
+
+
+def _signs() -> ahocorasick.Automaton:
+    """Whole words of annotations and hesitation sounds, each between blanks, with repeated letters once."""
+    automaton = ahocorasick.Automaton()
+    for kind, words in (("note", ANNOTATIONS), ("sound", HESITATIONS)):
+        for w in words:
+            automaton.add_word(f" {_squeezed(w)} ", (kind, len(_squeezed(w))))
+    automaton.make_automaton()
+    return automaton
 
 
-_SQUEEZED = frozenset(_squeezed(h) for h in HESITATIONS)
-_SPOKEN = _automaton(sorted(_SOUNDS | _SQUEEZED))
+_SIGNS = _signs()
 
 
-def _is_note(inner: str) -> bool:
-    """Whether a bracketed text describes a sound: words of the list, and little else."""
-    low = folded(inner)
-    if not re.search(r"[^\W\d_]", low):
+def _matches(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """The folded text, and (kind, from, to) of each whole word that the automaton knows; one pass over the text."""
+    low = folded(text)
+    spaced = " " + OUTSIDE.sub(" ", low) + " "
+    runs = [(m.start(), m.end() - m.start() - 1) for m in DOUBLED.finditer(spaced)]
+    short = DOUBLED.sub(r"\1", spaced) if runs else spaced
+    found, run, gone = [], 0, 0
+    for end, (kind, length) in _SIGNS.iter(short):
+        first, last = end - length, end - 1  # the word without its blanks, in the shortened text
+        while run < len(runs) and runs[run][0] < first + gone:  # letters left out before the word
+            gone += runs[run][1]
+            run += 1
+        inside, k = 0, run
+        while k < len(runs) and runs[k][0] <= last + gone + inside:
+            inside += runs[k][1]
+            k += 1
+        found.append((kind, first + gone - 1, last + gone + inside))
+    return low, found
+
+
+def _is_note(low: str, found: list[tuple[str, int, int]], a: int, b: int) -> bool:
+    """Whether the bracketed text from a to b describes a sound: words of the list, and little else."""
+    letters = sum(c.isalpha() for c in low[a:b])
+    if not letters:
         return True
-    covered = [False] * len(low)
-    for end, w in _NOTES.iter(low):
-        start = end - len(w) + 1
-        if (start == 0 or not low[start - 1].isalnum()) and (end + 1 == len(low) or not low[end + 1].isalnum()):
-            covered[start : end + 1] = [True] * len(w)
-    letters = [c for i, c in enumerate(low) if c.isalpha() and not covered[i]]
-    return len(letters) < sum(c.isalpha() for c in low) / 2 or len(low.split()) <= 2 and bool(re.match(r"^\s*[\w-]+(\s[\w-]+)?\s*$", low))
+    known = sum(sum(c.isalpha() for c in low[x:y]) for kind, x, y in found if kind == "note" and a <= x and y <= b)
+    inner = low[a:b].strip("()[]{}<>*")
+    return known > letters / 2 or len(inner.split()) <= 2 and bool(re.match(r"^\s*[\w-]+(\s[\w-]+)?\s*$", inner))
 
 
 def speech_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the text that are speech: the whole minus annotations and hesitation sounds."""
-    cut = []
-    for m in BRACKETS.finditer(text):
-        if m.group()[0] in "♪♫♬*" or _is_note(m.group().strip("()[]{}<>*")):
-            cut.append(m.span())
-    low = folded(text)
-    words = [m.span() for m in WORD.finditer(low)]
-    for a, b in words:
-        w = low[a:b]
-        if len(w) <= 12 and (w in _SOUNDS or _squeezed(w) in _SQUEEZED and len(_squeezed(w)) < len(w)) and _hesitates(low, a, b, w):
-            cut.append((a, b))
-    cut.sort()
+    low, found = _matches(text)
+    sounds = [(a, b) for kind, a, b in found if kind == "sound"]
+    brackets = [m.span() for m in BRACKETS.finditer(text)]
+    cut = [(a, b) for a, b in brackets if text[a] in "♪♫♬" or text[a] == "*" and not re.search(r"[.!?]\s", text[a:b]) or _is_note(low, found, a, b)]
+    only_sounds = None
+    for a, b in sounds:
+        if low[a:b] in DOUBTFUL:
+            # a sound that is a word too, unless drawn out: set off by punctuation on both sides, or nothing else is said
+            before, after = low[:a].rstrip(), low[b:].lstrip()
+            if not ((not before or before[-1] in ".,;!?…-") and (not after or after[0] in ".,;!?…-")):
+                if only_sounds is None:
+                    only_sounds = not re.search(r"[^\W_]", _left(low, sounds + brackets))
+                if not only_sounds:
+                    continue
+        cut.append((a, b))
+    return _subtract(len(text), cut)
+
+
+def _subtract(length: int, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The span from 0 to ``length`` minus the spans to cut."""
     spans, at = [], 0
-    for a, b in cut:
+    for a, b in sorted(cut):
         if a > at:
             spans.append((at, a))
         at = max(at, b)
-    if at < len(text):
-        spans.append((at, len(text)))
+    if at < length:
+        spans.append((at, length))
     return spans
 
 
-def _hesitates(low: str, a: int, b: int, word: str) -> bool:
-    """Context rules for sounds that are also words: alone, or set off by punctuation on both sides."""
-    if word not in ("um", "e", "o", "a", "an", "ha", "er", "oh", "ah", "m", "mm"):
-        return True
-    before, after = low[:a].rstrip(), low[b:].lstrip()
-    return (not before or before[-1] in ".,;!?…-") and (not after or after[0] in ".,;!?…-") or not re.search(r"[^\W_]", re.sub(WORD, lambda m: "" if m.group() in _SOUNDS or _squeezed(m.group()) in _SQUEEZED else m.group(), BRACKETS.sub(" ", low)))
+def _left(text: str, cut: list[tuple[int, int]]) -> str:
+    return " ".join(text[a:b] for a, b in _subtract(len(text), cut))
 
 
 def clean(text: str) -> str:
@@ -146,11 +184,10 @@ def clean(text: str) -> str:
 
 
 def has_speech(text: str) -> bool:
-    """Whether anything is said: the first plain word outside brackets settles it, doubtful texts are read in full."""
-    for m in WORD.finditer(BRACKETS.sub(" ", text)):
-        word = folded(m.group())
-        if word not in _SOUNDS and _squeezed(word) not in _SQUEEZED:
-            return True
+    """Whether anything is said: a word outside brackets that the automaton doesn't know settles it, doubtful texts are read in full."""
+    low, found = _matches(text)
+    if re.search(r"[^\W_]", _left(low, [m.span() for m in BRACKETS.finditer(text)] + [(a, b) for kind, a, b in found if kind == "sound"])):
+        return True
     return any(re.search(r"[^\W_]", text[a:b]) for a, b in speech_spans(text))
 
 
@@ -174,7 +211,7 @@ def _is_heading(line: str) -> bool:
     low = folded(line).strip(" #=*-_\t")
     if line.lstrip().startswith(("#", "==")) or not low:
         return True
-    return any(low.startswith(w) and not low[len(w) : len(w) + 1].isalpha() for _, w in _HEADS.iter(low[:24]))
+    return any(end + 1 == len(w) and not low[len(w) : len(w) + 1].isalpha() for end, w in _HEADS.iter(low[:MOST_HEADING]))
 
 
 def read_transcript(text: str) -> tuple[list[tuple[str, float | None, list[tuple[int, str]]]], list[str]]:
@@ -196,6 +233,7 @@ def read_transcript(text: str) -> tuple[list[tuple[str, float | None, list[tuple
         for ln, m in zip(lines, matches):
             if m and not _is_heading(ln):
                 known[label_key(m.group(1))] += 1
+    own = _automaton(f"\n{key}\n" for key, n in known.items() if n > 1)  # the session's own labels
     utterances: list = []
     listed: list[str] = []
     mark = None
@@ -205,7 +243,7 @@ def read_transcript(text: str) -> tuple[list[tuple[str, float | None, list[tuple
         if "-->" in ln and (c := CUE.match(ln)) is not None:
             mark = _seconds(c.groups()[:4])
             continue
-        if len(ln) <= 24 and (c := MARK.match(ln)) is not None:
+        if len(ln.strip()) <= 16 and (c := MARK.match(ln)) is not None:  # no time mark is longer
             mark = _seconds(c.groups())
             continue
         m = matches[k]
@@ -215,8 +253,8 @@ def read_transcript(text: str) -> tuple[list[tuple[str, float | None, list[tuple
             if folded(head).strip() in ("participantes", "participants", "presentes", "attendees", "present", "participante"):
                 listed += [p for p in re.split(r"\s*[,;]\s*", rest) if p.strip()]
             continue
-        if m is not None and layout == "plain" and known[label_key(m.group(1))] < 2 and not _label_like(m.group(1)):
-            m = None
+        if m is not None and layout == "plain" and not _label_like(m.group(1)) and not (len(own) and any(own.iter(f"\n{label_key(m.group(1))}\n"))):
+            m = None  # speech with a colon
         if m is not None:
             label, at, said = _parts(layout, m)
             utterances.append((label, mark if at is None else at, [(k, said)]))
@@ -266,6 +304,7 @@ APP_LABELS = frozenset("person spk speaker unknown desconhecido pessoa participa
 PARTICLES = frozenset("de da do dos das e".split())
 
 
+@lru_cache(400_000)
 def fits(short: str, long: str) -> float:
     """How well a label stands for a longer one: 0 for not at all, else a score that prefers more shared letters."""
     if _numbers(short) != _numbers(long):
@@ -317,7 +356,7 @@ def resolve(labels: Counter, listed: list[str]) -> dict[str, str]:
     for k in order:
         best, who = 0.0, None
         for head, members in heads.items():
-            s = max((max(fits(k, m), fits(m, k) * 0.99) for m in members[:8]), default=0)
+            s = max((max(fits(k, m), fits(m, k) * 0.99) for m in members), default=0)
             if s > best or s == best and s and count[head] > count[who]:
                 best, who = s, head
         if who is None:
