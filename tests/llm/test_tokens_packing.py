@@ -88,3 +88,20 @@ def test_containers_balance_cost():
     placed, used = packing.assign(-np.sort(-sizes), 12, 1.0)
     loads = np.bincount(placed, weights=-np.sort(-sizes))
     assert used <= 5 and loads.max() <= 12 and loads.sum() == sizes.sum()
+
+
+def test_repeated_long_documents_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(i, "palavra " * 600, 0, "x", "pt") for i in (1, 1, 2, None)], DOCS)
+    windows = spark.createDataFrame([("w", "byte_bpe_50k", 256)], "window_name string, tokenizer string, capacity_tokens bigint")
+    first, second = (packing.pack_documents(df.repartition(n), windows).toPandas() for n in (1, 3))
+    full = first[first.tokens == 256]
+    assert len(full) == full.container_id.nunique() and set(first.container_id) == set(second.container_id)
+    assert first.groupby("container_id").tokens.sum().max() <= 256
+
+
+def test_the_cost_rule_leaves_little_room():
+    rng = np.random.default_rng(9)
+    for capacity in (256, 2048):
+        sizes = np.minimum(rng.lognormal(4.5, 1.0, 4000).astype(np.int64) + 1, capacity - 1)
+        placed, used = packing.assign(-np.sort(-sizes), capacity)
+        assert np.bincount(placed, weights=-np.sort(-sizes)).max() <= capacity and used <= 1.005 * -(-sizes.sum() // capacity)
