@@ -26,6 +26,7 @@ from functools import lru_cache
 DEFAULT_FOLDER = os.environ.get("CONFAB_TOKENIZERS", "/opt/tokenizers")
 MOST_STATES = 300_000  # the table of states starts anew beyond this
 MOST_PIECES = 400_000  # so does the table of pieces
+MOST_PAIRS = 2_000_000  # and that of tokens that may follow each other
 
 
 @lru_cache(1)
@@ -101,6 +102,8 @@ class Transducer:
         known = self.follows.get(key)
         if known is None:
             wanted = [self.tokens[token]] if last is None else [self.tokens[last], self.tokens[token]]
+            if len(self.follows) >= MOST_PAIRS:
+                self.follows.clear()
             known = self.follows[key] = self._merged(b"".join(wanted)) == wanted
         return known
 

@@ -59,9 +59,9 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents decoded from their ids: (doc_id, n_chars of the decoded text)."""
+    """Documents decoded from their ids: (doc_id, n_chars and digest of the decoded text)."""
     decoded = tokens.token_texts(tokens.token_ids(table(spark, sf_dir, "documents")))
-    return decoded.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    return decoded.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ QUERIES: dict[str, Query] = {
 
 #: SQL twins; the other operators are tested against brute force, libraries and round trips.
 ORACLE_SQL: dict[str, str] = {
-    "p6_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents",
+    "p6_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     # exact: every pair of usual vectors is compared
     "p1_nearest": """
         WITH v AS (
