@@ -46,7 +46,7 @@ def split_pattern() -> re.Pattern:
 
     letter, number = ranges("L"), ranges("N")
     blank = r" \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed value: white space by the Unicode property
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?(?:[{letter}]+|[{number}]+|[^{blank}{letter}{number}]+)|[{blank}]+(?![^{blank}])|[{blank}]+")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -155,18 +155,39 @@ class Transducer:
         out: list[int] = []
         if not text:
             return out
-        pieces = self.pieces
-        for piece in split_pattern().findall(text):
+        pieces, ok, held = self.pieces, False, None
+        # a blank between two other signs begins a piece, whatever stands around it: texts are cut there, and what is known is not read again
+        for word in text.split(" "):
+            if held is None:
+                held = word
+            elif ok and word and not word[0].isspace():
+                ids = pieces.get(held)
+                out.extend(self._encode_part(held) if ids is None else ids)
+                held = " " + word
+            else:
+                held += " " + word
+            ok = word != "" and not word[-1].isspace()
+        ids = pieces.get(held)
+        out.extend(self._encode_part(held) if ids is None else ids)
+        return out
+
+    def _encode_part(self, part: str) -> tuple[int, ...]:
+        pieces, out = self.pieces, []
+        for piece in split_pattern().findall(part):
             ids = pieces.get(piece)
             if ids is None:
                 ids = tuple(self.encode_bytes(piece.encode("utf-8", "replace")))
-                if len(pieces) >= MOST_PIECES:
-                    pieces.clear()
-                if len(piece) <= 64:
-                    pieces[piece] = ids
+                self._keep(piece, ids)
             out.extend(ids)
+        self._keep(part, tuple(out))
         return out
 
+    def _keep(self, piece: str, ids: tuple[int, ...]) -> None:
+        if len(self.pieces) >= MOST_PIECES:
+            self.pieces.clear()
+        if len(piece) <= 64:
+            self.pieces[piece] = ids
+
     def decode(self, ids) -> str:
         """The text of ids, read token by token."""
         machine = Utf8Machine()
