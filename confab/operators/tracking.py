@@ -52,20 +52,16 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 
 def match_pairs(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """(pairs, rows left, columns left): cheapest matching in which staying alone costs half the limit on either side."""
+    """(pairs, rows left, columns left): the one-to-one matching whose pairs save most against the limit.
+
+    A pair saves what its cost lies below the limit, staying alone saves nothing.
+    """
     rows, cols = cost.shape
-    if not rows or not cols:
-        return [], list(range(rows)), list(range(cols))
-    n = rows + cols
-    big = np.full((n, n), 1e9)
-    big[:rows, :cols] = cost
-    big[np.arange(rows), cols + np.arange(rows)] = limit / 2
-    big[rows + np.arange(cols), np.arange(cols)] = limit / 2
-    big[rows:, cols:] = 0
-    column = hungarian(big)
-    pairs = [(i, int(column[i])) for i in range(rows) if column[i] < cols and cost[i, column[i]] < limit + 1e-12]
-    taken = {j for _, j in pairs}
-    return pairs, [i for i in range(rows) if i not in {p[0] for p in pairs}], [j for j in range(cols) if j not in taken]
+    saved = np.zeros((max(rows, cols),) * 2)
+    saved[:rows, :cols] = np.maximum(limit - cost, 0)
+    partner = hungarian(-saved)[:rows] if rows and cols else np.full(rows, cols)
+    pairs = [(i, int(j)) for i, j in enumerate(partner) if saved[i, j] > 0] if rows and cols else []
+    return pairs, sorted(set(range(rows)) - {i for i, _ in pairs}), sorted(set(range(cols)) - {j for _, j in pairs})
 
 
 def box_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
