@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions.columns import half_even, unit
+from confab.operators.vectors import vector_sums
 from confab.session import cut
 
 
@@ -101,9 +102,7 @@ def rename_prefixed(files: DataFrame, old: str, new: str) -> DataFrame:
 def mean_embeddings(embeddings: DataFrame, speakers: DataFrame, dim: int) -> DataFrame:
     """(name, mean): the unit mean of each named speaker's active vectors of full length, element by element."""
     rows = embeddings.filter((F.col("is_active") == 1) & (F.size("embedding") == dim)).join(speakers.select(F.col("id").alias("speaker_id"), "name"), "speaker_id")
-    parts = rows.select("name", F.posexplode("embedding").alias("pos", "x")).groupBy("name", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vectors = parts.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))
-    return vectors.select("name", unit(F.col("mean")).alias("mean"))
+    return vector_sums(rows, "name", "embedding").select("name", unit(F.transform("total", lambda x: x / F.col("n"))).alias("mean"))
 
 
 def coerce_segments(records: DataFrame) -> DataFrame:

@@ -2,30 +2,156 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from confab.functions.columns import dot, unit
+from confab.functions.columns import unit
+
+KNOWN_BYTES = 32 << 20  # of known vectors that are sent to every task as one matrix; more are compared in blocks
+BLOCK_NAMES, BLOCK_PROBES = 4096, 16384  # names and probes of one block beyond that, about
+AT_ONCE = 2048  # probes scored at once
+
+
+def _matrices(column: pa.ListArray | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) of the vectors of each length; null and empty vectors and those with null numbers are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    missing = np.append(0, np.cumsum(column.values.is_null().to_numpy(zero_copy_only=False)))
+    sizes = np.diff(offsets)
+    usable = (sizes > 0) & ~column.is_null().to_numpy(zero_copy_only=False) & (missing[offsets[1:]] == missing[offsets[:-1]])
+    for dim in np.unique(sizes[usable]).tolist():
+        rows = np.flatnonzero(usable & (sizes == dim))
+        yield rows, values[offsets[rows][:, None] + np.arange(dim)]
+
+
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1)
 
-MOST_VOICES = 50_000  # centroids that may be sent to every task; more are a search problem (nearest neighbours), not a table
+
+def vector_sums(rows: DataFrame, key: str, vector: str, normalise: bool = False) -> DataFrame:
+    """(key, n, total, squares): number, element-wise sum and sum of squared lengths of each key's vectors (of unit length where asked).
+
+    Arrow batches are summed before the shuffle, so one short row for each key,
+    length and partition goes over the wire, however many vectors a key has.
+    Vectors of another length than the longest of their key count as far as they go.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n bigint, total array<double>, squares double"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for at, matrix in _matrices(batch.column(1)):
+                matrix = _unit_rows(matrix) if normalise else matrix
+                order = np.argsort(codes[at], kind="stable")
+                own = codes[at][order]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                sums, count = np.add.reduceat(matrix[order], first, axis=0), np.diff(np.append(first, len(own)))
+                squares = np.add.reduceat((matrix[order] ** 2).sum(axis=1), first)
+                offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(own[first])), pa.array(count), pa.ListArray.from_arrays(offsets, pa.array(sums.reshape(-1))), pa.array(squares)], [key, "n", "total", "squares"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        parts = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in table.column("total").combine_chunks()]
+        total = np.zeros(max(map(len, parts)))
+        for part in parts:
+            total[: len(part)] += part
+        return pa.table({key: table.column(key)[:1], "n": [sum(table.column("n").to_pylist())], "total": [total], "squares": [sum(table.column("squares").to_pylist())]})
+
+    return rows.select(key, vector).mapInArrow(partial, schema).groupBy(key).applyInArrow(whole, schema)
 
 
 def centroids(rows: DataFrame, name: str, vector: str, normalise: bool = True) -> DataFrame:
     """(name, centroid): element-wise mean of each name's vectors, unit length unless asked otherwise."""
-    parts = rows.select(name, F.posexplode(vector).alias("pos", "x")).groupBy(name, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    vectors = parts.groupBy(name).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("mean"))
-    return vectors.select(name, (unit(F.col("mean")) if normalise else F.col("mean")).alias("centroid"))
+    mean = F.transform("total", lambda x: x / F.col("n"))
+    return vector_sums(rows, name, vector).select(name, (unit(mean) if normalise else mean).alias("centroid"))
+
+
+def _ranked(rows: np.ndarray, known: np.ndarray, top: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, known row, score, rank): the ``top`` known rows of each row of ``least`` or more; equal scores in order of the known."""
+    out = []
+    for at in range(0, len(rows), AT_ONCE):
+        scored = np.round(rows[at : at + AT_ONCE] @ known.T, 12)
+        low = np.full(len(scored), -np.inf if least is None else least)
+        if top is not None and known.shape[0] > 4 * top:
+            low = np.maximum(low, np.partition(scored, -top, axis=1)[:, -top])
+        i, j = np.nonzero(scored >= low[:, None])
+        by = np.lexsort((j, -scored[i, j], i))
+        i, j = i[by], j[by]
+        rank = np.arange(len(i)) - np.searchsorted(i, i, side="left") + 1
+        keep = rank <= (top or len(known))
+        out.append((at + i[keep], j[keep], scored[i, j][keep], rank[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, int) for _ in range(4))
+
+
+def _scored(keys: pa.Array, vectors: pa.Array, names: pa.Array, known: np.ndarray, key: str, name: str, top: int | None, least: float | None) -> Iterator[pa.RecordBatch]:
+    for at, matrix in _matrices(vectors):
+        # a vector of another length is like nobody
+        own = _unit_rows(matrix) if matrix.shape[1] == known.shape[1] else np.zeros((len(matrix), known.shape[1]))
+        i, j, score, rank = _ranked(own, known, top, least)
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at[i])), names.take(pa.array(j)), pa.array(score.astype(np.float64)), pa.array(rank.astype(np.int32))], [key, name, "score", "rank"])
+
+
+def matches(probes: DataFrame, known: DataFrame, key: str, name: str, vector: str, top: int | None = None, least: float | None = None) -> DataFrame:
+    """(key, name, score, rank): the known names of each probe by cosine, the best first; equal scores go by name.
+
+    ``known`` has name and centroid, unit vectors of one length.  Up to
+    KNOWN_BYTES of them go to every task as one matrix, and probes are not
+    shuffled.  Beyond that, blocks of names meet blocks of probes and the best of
+    each block are ranked again; nothing is left out.  A probe whose vector is
+    null, empty or holds a null has no row.
+    """
+    kinds = [probes.schema[key].dataType.simpleString(), known.schema[name].dataType.simpleString()]
+    schema = f"`{key}` {kinds[0]}, `{name}` {kinds[1]}, score double, rank int"
+    known = known.filter(F.col(name).isNotNull()).select(name, F.col("centroid").cast("array<double>").alias("centroid"))
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.size("centroid")), F.lit(0)) * 8).first()
+    if size <= KNOWN_BYTES:
+        table = known.orderBy(name).toArrow()
+        column = table.column("centroid").combine_chunks()
+        matrix = column.values.to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+        sent = probes.sparkSession.sparkContext.broadcast((table.column(name).combine_chunks(), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, rows = sent.value
+            for batch in batches:
+                if len(names):
+                    yield from _scored(batch.column(0), batch.column(1), names, rows, key, name, top, least)
+
+        return probes.select(key, vector).mapInArrow(run, schema)
+
+    # the name's block stands in the probe's row, so a probe meets every name exactly once
+    blocks, parts = -(-n // BLOCK_NAMES), max(-(-probes.count() // BLOCK_PROBES), 1)
+    left = probes.select(key, vector, F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = known.select(name, "centroid", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
+
+    def block(rows: pa.Table, names: pa.Table) -> pa.Table:
+        found = []
+        if rows.num_rows and names.num_rows:
+            names = names.sort_by(name)
+            matrix = names.column("centroid").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(names.num_rows, -1)
+            found = list(_scored(rows.column(key).combine_chunks(), rows.column(vector).combine_chunks(), names.column(name).combine_chunks(), matrix, key, name, top, least))
+        return pa.Table.from_batches(found) if found else pa.table({key: rows.column(key)[:0], name: names.column(name)[:0], "score": pa.array([], pa.float64()), "rank": pa.array([], pa.int32())})
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(block, schema)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), name)))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def scores(probes: DataFrame, known: DataFrame, key: str, name: str, vector: str) -> DataFrame:
-    """(key, name, score) of every probe against every centroid; the known side is broadcast after a check of its size."""
-    n = known.count()
-    if n > MOST_VOICES:
-        raise ValueError(f"{n} centroids are too many to compare with every probe; use a nearest-neighbour index")
-    p = probes.select(key, unit(F.col(vector)).alias("probe"))
-    return p.crossJoin(F.broadcast(known)).select(key, name, dot(F.col("probe"), F.col("centroid")).alias("score"))
+    """(key, name, score) of every probe against every centroid."""
+    return matches(probes, known, key, name, vector).select(key, name, "score")
+
+
+def identified(probes: DataFrame, known: DataFrame, key: str, name: str, vector: str, threshold: float) -> DataFrame:
+    """best_names() of the probes' two best matches."""
+    return best_names(matches(probes, known, key, name, vector, top=2), key, name, threshold)
 
 
 def best_names(scored: DataFrame, key: str, name: str, threshold: float) -> DataFrame:
@@ -37,11 +163,10 @@ def best_names(scored: DataFrame, key: str, name: str, threshold: float) -> Data
 
 def diversity(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, n, diversity): one less the mean cosine of all pairs of unit vectors, from their sum alone; 0 below two."""
-    units = rows.select(key, F.posexplode(unit(F.col(vector))).alias("pos", "x"))
-    sums = units.groupBy(key, "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    total = sums.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("q").alias("q"), F.max("n").alias("n"))
-    spread = 1 - (F.col("s2") - F.col("q")) / (F.col("n") * (F.col("n") - 1))
-    return total.select(key, "n", F.when(F.col("n") < 2, 0.0).otherwise(spread).alias("diversity"))
+    sums = vector_sums(rows, key, vector, normalise=True)
+    length = F.aggregate("total", F.lit(0.0), lambda s, x: s + x * x)
+    spread = 1 - (length - F.col("squares")) / (F.col("n") * (F.col("n") - 1))
+    return sums.select(key, "n", F.when(F.col("n") < 2, 0.0).otherwise(spread).alias("diversity"))
 
 
 # ---- folds -------------------------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from confab.functions.columns import half_even
+from confab.functions.columns import half_even, unit
 from confab.operators import decide, vectors
 from confab.session import table
 
@@ -14,26 +14,22 @@ def _split(spark, d):
     return vectors.centroids(e.filter("vec_id % 5 <> 0"), "name", "embedding"), e.filter("vec_id % 5 = 0")
 
 
-def _scored(spark, d):
+def _identified(spark, d):
     known, probes = _split(spark, d)
-    return vectors.scores(probes, known, "vec_id", "name", "embedding")
+    return vectors.identified(probes, known, "vec_id", "name", "embedding", 0.5)
 
 
 def speaker_identify(spark, d):
-    best = vectors.best_names(_scored(spark, d), "vec_id", "name", 0.5)
-    return best.select("vec_id", "name", half_even(F.col("score"), 6).alias("score"), "accepted")
+    return _identified(spark, d).select("vec_id", "name", half_even(F.col("score"), 6).alias("score"), "accepted")
 
 
 def speaker_candidates(spark, d):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "name"))
-    return _scored(spark, d).withColumn("rank", rank).filter("score >= 0.05").select("vec_id", "rank", "name", half_even(F.col("score"), 6).alias("score"))
+    known, probes = _split(spark, d)
+    return vectors.matches(probes, known, "vec_id", "name", "embedding", least=0.05).select("vec_id", "rank", "name", half_even(F.col("score"), 6).alias("score"))
 
 
 def margin_rule(spark, d):
-    best = vectors.best_names(_scored(spark, d), "vec_id", "name", 0.5)
-    return best.select("vec_id", F.when(F.col("margin") >= 0.04, F.col("name")).otherwise("Unknown").alias("name"), half_even(F.col("margin"), 6).alias("margin"))
+    return _identified(spark, d).select("vec_id", F.when(F.col("margin") >= 0.04, F.col("name")).otherwise("Unknown").alias("name"), half_even(F.col("margin"), 6).alias("margin"))
 
 
 def buffer_diversity(spark, d):
@@ -44,11 +40,8 @@ def buffer_diversity(spark, d):
 def cluster_assign(spark, d):
     """Every vector to the nearest raw mean of all labels."""
     e = table(spark, d, "embeddings").withColumn("name", F.format_string("P%d", "label"))
-    means = vectors.centroids(e, "name", "embedding", normalise=False).select("name", F.transform("centroid", lambda x: x).alias("m"))
-    from confab.functions.columns import unit
-
-    best = vectors.best_names(vectors.scores(e, means.select("name", unit(F.col("m")).alias("centroid")), "vec_id", "name", "embedding"), "vec_id", "name", 0.0)
-    return best.select("vec_id", "name", half_even(F.col("score"), 6).alias("score"))
+    means = vectors.centroids(e, "name", "embedding", normalise=False).select("name", unit(F.col("centroid")).alias("centroid"))
+    return vectors.identified(e, means, "vec_id", "name", "embedding", 0.0).select("vec_id", "name", half_even(F.col("score"), 6).alias("score"))
 
 
 def homonym_split(spark, d):

@@ -71,3 +71,30 @@ def test_diversity_closed_form(spark):
     df = spark.createDataFrame([(1, v.tolist()) for v in vs] + [(2, [1.0] * 5)], "k int, v array<double>")
     got = {r.k: r.diversity for r in V.diversity(df, "k", "v").collect()}
     assert got[1] == pytest.approx(want) and got[2] == 0
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_matches_equal_brute_force_in_one_matrix_and_in_blocks(spark, monkeypatch, most):
+    rng = np.random.default_rng(3)
+    known, probes = rng.standard_normal((23, 6)), rng.standard_normal((40, 6))
+    known /= np.linalg.norm(known, axis=1, keepdims=True)
+    known[5] = known[4]  # a tie
+    if most is not None:
+        monkeypatch.setattr(V, "KNOWN_BYTES", most)
+        monkeypatch.setattr(V, "BLOCK_NAMES", 7)
+        monkeypatch.setattr(V, "BLOCK_PROBES", 11)
+    k = spark.createDataFrame([(f"n{i:02d}", v.tolist()) for i, v in enumerate(known)], "name string, centroid array<double>")
+    p = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(probes)] + [(90, None, "x"), (91, [], "x"), (92, [0.0] * 6, "x"), (93, [1.0, 2.0], "x")], "id bigint, v array<double>, score string")
+    got = {(r.id, r["rank"]): (r.name, round(r.score, 9)) for r in V.matches(p, k, "id", "name", "v", top=3).collect()}
+    want = {}
+    for i, v in enumerate(probes):
+        g = np.round(known @ v / np.linalg.norm(v), 12)
+        for rank, j in enumerate(sorted(range(23), key=lambda j: (-g[j], j))[:3], 1):
+            want[i, rank] = (f"n{j:02d}", round(float(g[j]), 9))
+    assert {x: y for x, y in got.items() if x[0] < 90} == want and {x for x, _ in got if x >= 90} == {92, 93}
+    assert V.matches(p, k.limit(0), "id", "name", "v").count() == 0
+
+
+def test_sums_of_ragged_and_missing_vectors(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("a", [5.0]), ("b", None), ("b", []), (None, [1.0]), ("c", [1.0, None])], "k string, v array<double>")
+    assert {r.k: (r.n, r.total) for r in V.vector_sums(df.repartition(3), "k", "v").collect()} == {"a": (3, [9.0, 6.0]), None: (1, [1.0])}
