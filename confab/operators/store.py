@@ -6,7 +6,7 @@ replaced row go with it (anti-joins on the key), ids go on after the largest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.functions.columns import half_even, unit
@@ -131,3 +131,37 @@ def line_accuracy(validations: DataFrame, lines: DataFrame) -> DataFrame:
     """(validation_id, lines, right, share): predicted against corrected labels of each validation."""
     counted = lines.groupBy("validation_id").agg(F.count("*").alias("lines"), F.count_if(F.col("predicted") == F.col("corrected")).alias("right"))
     return validations.select(F.col("id").alias("validation_id")).join(counted, "validation_id").select("validation_id", "lines", "right", half_even(F.col("right") / F.col("lines"), 4).alias("share"))
+
+
+# The store's tables; bytes of vectors are arrays of numbers here.
+_VECTORS = "id bigint, speaker_id bigint, embedding array<float>, source_file string, created_at string, is_active int"
+SCHEMAS = {
+    "speakers": "id bigint, name string, gender string, created_at string", "voice_embeddings": _VECTORS, "face_embeddings": _VECTORS,
+    "sessions": "id bigint, session_id string, started_at string, config string, summary string, transcript string, audio_file string, created_at string",
+    "segments": "id bigint, session_pk bigint, seg_index bigint, timestamp string, speaker_name string, text string, decision string, decision_type string, raw_best_name string, raw_conf double, final_name string, final_speaker string, is_identified int, is_fn int, fp_risk string, audio_gender string, whisper_ms double, verifier_ms double, segment_ms double, metrics_json string",
+    "validations": "id bigint, session_pk bigint, validated_at string, accuracy double, named_accuracy double, total_lines int, correct int, incorrect int, details_json string",
+    "validation_lines": "id bigint, validation_id bigint, seg_index bigint, predicted string, corrected string",
+}
+#: Columns by which a table's files are laid out, in place of indexes: readers skip the files of other values.
+CLUSTERED = {"voice_embeddings": "speaker_id", "face_embeddings": "speaker_id", "segments": "session_pk", "validations": "session_pk", "validation_lines": "validation_id"}
+
+
+def create_tables(spark: SparkSession, database: str) -> None:
+    """Creates the store's tables in a database, those that are missing only."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name, columns in SCHEMAS.items():
+        clustered = f" CLUSTERED BY (`{CLUSTERED[name]}`) INTO 64 BUCKETS" if name in CLUSTERED else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({columns}) USING parquet{clustered}")
+
+
+def run_sql(tables: dict[str, DataFrame], statement: str, args: dict | None = None) -> DataFrame:
+    """The result of a statement that names its tables in braces and its arguments with a colon."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(statement, args=args or {}, **tables)
+
+
+def run_script(spark: SparkSession, script: str) -> None:
+    """Runs the statements of a script one after the other; semicolons part them, a statement that fails ends it."""
+    for statement in (part.strip() for part in script.split(";")):
+        if statement:
+            spark.sql(statement)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from confab.plans import intervals, naming, problems, reports, signals, store, text, vectors
+from confab.plans import identity, intervals, naming, problems, records, reports, signals, store, text, vectors
 
-MODULES = (problems, store, intervals, reports, text, vectors, naming, signals)
+MODULES = (problems, store, intervals, reports, text, vectors, naming, signals, records, identity)
 
 
 def queries() -> dict:
