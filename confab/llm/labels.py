@@ -10,10 +10,11 @@ label that is itself missing join each other by a shared head or tail.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.llm.names import compact, deletions, digits, one_slip
+from confab.session import cut
 
 LEAST = 4  # shorter keys are taken as written
 EDGE = 8  # letters of head and tail by which two slips of a missing label meet
@@ -34,26 +35,34 @@ def canonical_labels(rows: DataFrame, entity: str, label: str) -> DataFrame:
     """(entity, key, canonical) for each distinct written key of each entity.
 
     Counts are pre-aggregated before the shuffle, so an entity that holds a
-    third of the rows brings only its distinct labels.  Null labels have no row.
+    third of the rows brings only its distinct labels.  These are few and are
+    written once; what follows reads no row of the table again.  Null labels
+    have no row.
     """
-    keys = rows.select(F.col(entity).alias("entity"), label_keys(F.col(label)).alias("key")).filter("key is not null").groupBy("entity", "key").agg(F.count("*").alias("n"))
-    keys = keys.withColumn("digits", digits(F.col("key")))
+    same = ["entity", "digits"]
+    counted = rows.select(F.col(entity).alias("entity"), label_keys(F.col(label)).alias("key")).filter("key is not null").groupBy("entity", "key").agg(F.count("*").alias("n"))
+    keys = cut(counted.withColumn("digits", digits(F.col("key"))))
     long = keys.filter(F.length("key") >= LEAST)
-    forms = long.select("entity", "digits", "key", "n", F.explode(deletions(F.col("key"))).alias("form"))
     # the most frequent label of each form is the hub that the form's other labels may join
-    best = F.max(_weight("n", "key")).alias("best")
-    heads = forms.groupBy("entity", "digits", "form").agg(best, F.count("*").alias("size")).filter("size > 1").select("entity", "digits", "form", "best")
-    reach = forms.join(heads, ["entity", "digits", "form"]).filter("key <> best.key").filter(_weight("n", "key") < F.col("best"))
-    hubs = reach.filter(one_slip(F.col("key"), F.col("best.key"))).groupBy("entity", "digits", "key").agg(F.max("best").alias("hub"))
-    known = long.join(hubs, ["entity", "digits", "key"], "left").withColumn("is_hub", F.col("hub").isNull())
-    # a hub may itself have a hub: two rounds reach the root of every chain of slips
-    up = hubs.select("entity", "digits", F.col("key").alias("mid"), F.col("hub").alias("top"))
-    known = known.withColumn("mid", F.coalesce("hub.key", "key")).join(up, ["entity", "digits", "mid"], "left").withColumn("root", F.coalesce("top.key", "hub.key", "key"))
-    led = hubs.select("entity", "digits", F.col("hub.key").alias("key")).distinct().withColumn("leads", F.lit(True))
-    lone = known.filter("is_hub").join(led, ["entity", "digits", "key"], "left").filter("leads is null and n <= 2").filter(F.length("key") >= 2 * EDGE)
-    edges = lone.select("entity", "digits", "key", "n", F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(EDGE))), F.concat(F.lit(">"), F.right("key", F.lit(EDGE))))).alias("edge"))
-    top = edges.groupBy("entity", "digits", "edge").agg(best, F.count("*").alias("size")).filter("size > 1").select("entity", "digits", "edge", "best")
-    met = edges.join(top, ["entity", "digits", "edge"]).filter("key <> best.key").filter(F.levenshtein(F.col("key"), F.col("best.key")) <= 2)
-    joined = met.groupBy("entity", "digits", "key").agg(F.max("best.key").alias("partner"))
-    roots = known.select("entity", "digits", "key", "root").join(joined, ["entity", "digits", "key"], "left").select("entity", "key", F.coalesce("partner", "root").alias("canonical"))
-    return roots.unionByName(keys.filter(F.length("key") < LEAST).select("entity", "key", F.col("key").alias("canonical")))
+    best = lambda by: F.max(_weight("n", "key")).over(Window.partitionBy(*same, by))
+    forms = long.withColumn("form", F.explode(deletions(F.col("key")))).withColumn("best", best("form"))
+    reach = forms.filter(_weight("n", "key") < F.col("best")).filter(one_slip(F.col("key"), F.col("best.key")))
+    direct = cut(reach.groupBy(*same, "key").agg(F.max("best").getField("key").alias("hub")))
+    # slips that nobody leads or joins, and that stand there once or twice, join each other by a shared head or tail
+    led = direct.select(*same, F.col("key")).unionByName(direct.select(*same, F.col("hub").alias("key"))).distinct()
+    lone = long.filter((F.col("n") <= 2) & (F.length("key") >= 2 * EDGE)).join(led, [*same, "key"], "left_anti")
+    edges = lone.withColumn("edge", F.explode(F.array(F.concat(F.lit("<"), F.left("key", F.lit(EDGE))), F.concat(F.lit(">"), F.right("key", F.lit(EDGE)))))).withColumn("best", best("edge"))
+    met = edges.filter(F.col("key") != F.col("best.key")).filter(F.levenshtein(F.col("key"), F.col("best.key")) <= 2)
+    partners = met.groupBy(*same, "key").agg(F.max("best.key").alias("partner"))
+    roots = keys.join(_roots(direct), [*same, "key"], "left").join(partners, [*same, "key"], "left")
+    return roots.select("entity", "key", F.coalesce("partner", "root", "key").alias("canonical"))
+
+
+def _roots(direct: DataFrame) -> DataFrame:
+    """(entity, digits, key, root) of labels with a hub: the last hub of each chain.  A hub weighs more than what joins it, so chains end; each round halves them."""
+    up = direct.withColumnRenamed("hub", "root")
+    while True:
+        further = up.select("entity", "digits", F.col("key").alias("root"), F.col("root").alias("top"))
+        if up.join(further, ["entity", "digits", "root"], "left_semi").isEmpty():
+            return up
+        up = cut(up.join(further, ["entity", "digits", "root"], "left").select("entity", "digits", "key", F.coalesce("top", "root").alias("root")))
