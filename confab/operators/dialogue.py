@@ -11,7 +11,8 @@ from collections import OrderedDict, deque
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from confab.functions.text import alike
 
@@ -64,8 +65,21 @@ class VoteBox:
         return self.names.get(speaker)
 
 
-def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, Row], Row | None], schema: str) -> DataFrame:
-    """Runs a fold over each key's rows in order.  A key's rows are one session: bounded by what one meeting says."""
+def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, Row], Row | None], schema: str, forgets: tuple[str, float] | None = None) -> DataFrame:
+    """Runs a fold over each key's rows in order.
+
+    ``forgets`` (time column, seconds) tells that a fold's state counts for
+    nothing once a row comes more than so long after all before it.  Keys are
+    then cut at such pauses, and a task holds a stretch without one; otherwise
+    it holds a key, bounded by what one meeting says.
+    """
+    parts = [key]
+    if forgets is not None:
+        at, pause = forgets
+        before = F.max(at).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        fresh = F.when(F.col(at) - before <= pause, 0).otherwise(1)
+        rows = rows.withColumn("_fresh", fresh).withColumn("_stretch", F.sum("_fresh").over(Window.partitionBy(key).orderBy(*order))).drop("_fresh")
+        parts = [key, "_stretch"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         state, out = start(), []
@@ -76,13 +90,13 @@ def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object
         columns = [c.strip().split()[0].strip("`") for c in schema.split(",")]
         return pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return rows.groupBy(*parts).applyInPandas(run, schema)
 
 
 def drop_repeats(entries: DataFrame) -> DataFrame:
     """Entries (session_pk, seg_index, id, text, at) without near repeats of what was just kept."""
     step = lambda state, r: r if state.keep(r["at"], r["text"]) else None
-    return fold(entries, "session_pk", ["seg_index", "id"], RepeatFilter, step, "session_pk bigint, seg_index bigint, id bigint, text string, at double")
+    return fold(entries, "session_pk", ["seg_index", "id"], RepeatFilter, step, "session_pk bigint, seg_index bigint, id bigint, text string, at double", forgets=("at", RepeatFilter().seconds))
 
 
 def context_votes(rows: DataFrame) -> DataFrame:

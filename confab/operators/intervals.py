@@ -68,17 +68,19 @@ def top_active(activations: DataFrame, counts: DataFrame, key: str, frame: str)
     return activations.withColumn("rank", rank).join(counts, [key, frame]).filter(F.col("rank") <= F.col("count")).select(key, frame, "cluster", "rank")
 
 
-def interval_means(spans: DataFrame, samples: DataFrame, pad: float, bucket: float, least: int) -> DataFrame:
+def interval_means(spans: DataFrame, samples: DataFrame, pad: float, bucket: float, least: int, within: str | None = None) -> DataFrame:
     """(span_id, track, samples, score): mean sample of each track in each span widened by ``pad``, both ends included.
 
     ``spans`` has span_id, start, end; ``samples`` track, at, value, all in
     seconds.  Both sides meet in time buckets (an equi-join), so no span is
-    compared with the samples of another time.
+    compared with the samples of another time.  Where both have a column
+    ``within``, such as their session, only samples of the span's own are met.
     """
     low, high = F.col("start") - pad, F.col("end") + pad
-    cells = spans.select("span_id", low.alias("low"), high.alias("high")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
+    own = [within] if within else []
+    cells = spans.select("span_id", *own, low.alias("low"), high.alias("high")).withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
     placed = samples.withColumn("cell", F.floor(F.col("at") / bucket))
-    met = cells.join(placed, "cell").filter(F.col("at").between(F.col("low"), F.col("high")))
+    met = cells.join(placed, [*own, "cell"]).filter(F.col("at").between(F.col("low"), F.col("high")))
     return met.groupBy("span_id", "track").agg(F.count("*").alias("samples"), F.avg("value").alias("score")).filter(F.col("samples") >= least)
 
 

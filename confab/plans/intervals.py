@@ -71,6 +71,15 @@ def loudest_mover(spark, d):
     return intervals.dominant(scores, "span_id", 3.0, ratio=1.5).select("span_id", "track", half_even(F.col("score"), 4).alias("score"))
 
 
+def active_in_session(spark, d):
+    """The dominant track among the samples of each span's own session only."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", _seconds(F.col("ts")).alias("at"))
+    spans = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("span_id"), "user_id", F.col("at").alias("start"), (F.col("at") + 600).alias("end"))
+    samples = events.filter("event_type in ('view', 'click')").select("user_id", (F.col("event_id") % 3).alias("track"), "at", "value")
+    scores = intervals.interval_means(spans, samples, 86_400.0, 43_200.0, 1, "user_id")
+    return intervals.dominant(scores, "span_id", 10.0, margin=2.5).select("span_id", "track", half_even(F.col("score"), 4).alias("score"))
+
+
 def asof_previous(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     left = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
@@ -139,7 +148,7 @@ def face_slices(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        speech_turns, binarized_turns, overlap_add, cluster_activations, top_active, active_speaker, loudest_mover, asof_previous, chunk_windows, chunk_windows_low_latency, recent_mean, frame_diff, topn_per_frame,
+        speech_turns, binarized_turns, overlap_add, cluster_activations, top_active, active_speaker, active_in_session, loudest_mover, asof_previous, chunk_windows, chunk_windows_low_latency, recent_mean, frame_diff, topn_per_frame,
         label_dedup, confidence_split, sampled_scores, padded_segments, face_slices,
     )
 }
@@ -179,6 +188,12 @@ ORACLE_SQL = {
         SELECT user_id, frame, cluster, CAST(rank AS INTEGER) AS rank FROM r JOIN n USING (user_id, frame) WHERE rank <= k
     """,
     "active_speaker": "WITH " + _SPANS.format(kind="purchase", tracks=5, samples="'view', 'click'", least=10.0, clear="score - second >= 2.5"),
+    "active_in_session": """
+        WITH s AS (SELECT event_id AS span_id, user_id, epoch_us(ts) / 1e6 AS st FROM events WHERE event_type = 'purchase'), x AS (SELECT user_id, event_id % 3 AS track, epoch_us(ts) / 1e6 AS t, value FROM events WHERE event_type IN ('view', 'click')),
+        m AS (SELECT span_id, track, avg(value) AS score FROM s JOIN x ON x.user_id = s.user_id AND x.t BETWEEN s.st - 86400 AND s.st + 600 + 86400 GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM m WINDOW w AS (PARTITION BY span_id ORDER BY score DESC, track))
+        SELECT span_id, track, round_even(score * 1e4, 0) / 1e4 AS score FROM r WHERE k = 1 AND score >= 10 AND (second IS NULL OR score - second >= 2.5)
+    """,
     "loudest_mover": "WITH " + _SPANS.format(kind="signup", tracks=3, samples="'click'", least=3.0, clear="second < 3.0 OR score / second >= 1.5"),
     "asof_previous": """
         SELECT l.event_id, l.user_id, r.value AS previous_value FROM (SELECT * FROM events WHERE event_type = 'purchase') l

@@ -69,8 +69,28 @@ def token_codes(spark, d):
 QUERIES = {f.__name__: f for f in (last_speaker, last_speaker_all, llm_answers, powerset_decode, name_sets, speaking_states, face_persons, merged_turns, token_codes)}
 
 _NAMED = "n AS (SELECT session_pk, final_speaker AS speaker, max(final_name) AS name FROM segments WHERE final_speaker IS NOT NULL GROUP BY 1, 2)"
+_LAST_ALL = """
+    c AS (SELECT session_pk, count(DISTINCT speaker) AS speakers, count(DISTINCT speaker) FILTER (WHERE NOT {g}) AS known, count(DISTINCT speaker) FILTER (WHERE {g}) AS unknown, min(speaker) FILTER (WHERE {g}) AS speaker FROM n GROUP BY 1)
+    SELECT session_pk, speaker, 'Convidada ' || (session_pk % 9) AS name FROM c JOIN sessions s ON s.id = session_pk WHERE known = speakers - 1 AND unknown = 1
+        AND NOT EXISTS (SELECT 1 FROM n WHERE n.session_pk = c.session_pk AND n.name = 'Convidada ' || (c.session_pk % 9))
+"""
 _GENERIC = "coalesce(regexp_full_match({0}, '(Person_\\d+|spk_\\d+|Desconhecido_\\d+|Unknown|Unknown_\\d+)'), true)"
 ORACLE_SQL = {
+    "last_speaker_all": f"WITH {_NAMED}, {_LAST_ALL.format(g=_GENERIC.format('name'))}",
+    # one row after the other: the state is whether the face speaks, and since when its score asks for a change
+    "speaking_states": """
+        WITH RECURSIVE e AS (SELECT user_id AS track, n, n * CAST(0.2 AS DOUBLE) AS t, score FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, least(1.0, value / 100) AS score FROM events)),
+        r AS (
+            SELECT track, n, t, false AS speaking, t AS since FROM e WHERE n = 1
+            UNION ALL
+            SELECT track, n, t, CASE WHEN flips THEN NOT speaking ELSE speaking END, CASE WHEN flips OR NOT turning THEN t ELSE since END FROM (
+                SELECT *, turning AND t - since >= CASE WHEN speaking THEN 0.5 ELSE 0.25 END AS flips FROM (
+                    SELECT e.track, e.n, e.t, r.speaking, r.since, CASE WHEN r.speaking THEN e.score < CAST(0.35 AS DOUBLE) ELSE e.score >= CAST(0.55 AS DOUBLE) END AS turning FROM r JOIN e ON e.track = r.track AND e.n = r.n + 1
+                )
+            )
+        )
+        SELECT track, round_even(t * 1e3, 0) / 1e3 AS "at", speaking FROM r
+    """,
     "last_speaker": f"""
         WITH {_NAMED}, k AS (SELECT session_pk, speaker, CASE WHEN speaker = 'spk_022' THEN 'Person_1' ELSE name END AS name FROM n WHERE speaker IN ('spk_020', 'spk_021', 'spk_022')),
         c AS (SELECT session_pk, count(*) FILTER (WHERE NOT {_GENERIC.format('name')}) AS known, count(*) FILTER (WHERE {_GENERIC.format('name')}) AS unknown, min(speaker) FILTER (WHERE {_GENERIC.format('name')}) AS speaker FROM k GROUP BY 1)

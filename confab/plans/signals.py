@@ -52,4 +52,23 @@ def speech_spans(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (face_tracks, box_suppression, pitch_gender, loudness, speech_spans)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # a signal at the target level, or at the highest that its peak allows
+    "loudness": """
+        WITH s AS (SELECT id, 90 + id % 150 AS hz FROM speakers), x AS (SELECT id, sin(i * CAST(hz AS DOUBLE) * 2 * pi() / 16000) * CAST(0.3 AS DOUBLE) + sin(i * CAST(hz AS DOUBLE) * 4 * pi() / 16000) * CAST(0.1 AS DOUBLE) AS x FROM s, range(0, 16000) r(i)),
+        l AS (SELECT id, sqrt(avg(x * x)) AS rms, max(abs(x)) AS top FROM x GROUP BY id)
+        SELECT id, round_even(least(CAST(0.1 AS DOUBLE), rms / top) * 1e6, 0) / 1e6 AS rms FROM l
+    """,
+    # spans end at pauses of 16 windows from their first quiet one, and are padded by 4800 samples or half a gap
+    "speech_spans": """
+        WITH w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, least(1.0, value / 100) AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+        v AS (SELECT user_id, i, n, coalesce(lead(i) OVER (PARTITION BY user_id ORDER BY i), n) AS nxt FROM w WHERE p >= 0.5),
+        q AS (SELECT v.user_id, v.i, v.n, v.nxt, min(w.i) AS first, max(w.i) AS last FROM v LEFT JOIN w ON w.user_id = v.user_id AND w.p < CAST(0.35 AS DOUBLE) AND w.i > v.i AND w.i < v.nxt GROUP BY ALL),
+        c AS (SELECT *, coalesce(last - first >= 16, false) AS closes FROM q),
+        g AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM c),
+        s AS (SELECT user_id, span, min(i) * 512 AS a, coalesce(max(first) FILTER (WHERE closes), any_value(n)) * 512 AS b, any_value(n) * 512 AS total FROM g GROUP BY user_id, span),
+        o AS (SELECT *, row_number() OVER k - 1 AS pos, a - lag(b) OVER k AS gap_before, lead(a) OVER k - b AS gap_after FROM s WINDOW k AS (PARTITION BY user_id ORDER BY span))
+        SELECT user_id, CAST(pos AS INTEGER) AS n, CAST(CASE WHEN gap_before IS NULL THEN greatest(0, a - 4800) WHEN gap_before < 9600 THEN a - gap_before // 2 ELSE a - 4800 END AS BIGINT) AS start,
+               CAST(CASE WHEN gap_after IS NULL THEN least(total, b + 4800) WHEN gap_after < 9600 THEN b + gap_after // 2 ELSE b + 4800 END AS BIGINT) AS "end" FROM o
+    """,
+}

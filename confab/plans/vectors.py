@@ -135,6 +135,28 @@ def _cascade_sql() -> str:
     """
 
 
+def _passes_sql() -> str:
+    """The passes by the voice's gender over the cascade's decisions."""
+    from confab.plans.reports import _GENERIC, gender_sql
+
+    generic = lambda n: f"coalesce({_GENERIC.format(n)}, true)"
+    return f"""
+        WITH {_cascade_sql()},
+        n AS (SELECT *, id % 2 = 0 AND g IS NOT NULL AS active, regexp_matches(decision, '^(ASD|FACE_ONLY|SINGLE_FACE|SESSION_HINT)') AS visual, 'spk_' || (id % 4) AS face,
+                     CASE WHEN decision IN ('VERIFIER_HIGH', 'VERIFIER_MOD') THEN ch WHEN decision = 'VERIFIER_WEAK' THEN regexp_replace(rn, '[\\s\\x{{00A0}}]+\\d+$', '') WHEN decision = 'ASD' THEN an
+                          WHEN decision IN ('FACE_ONLY', 'SINGLE_FACE') THEN fn WHEN decision = 'ASD_GUESS' THEN gn WHEN decision = 'SESSION_FACE' THEN hn END AS name,
+                     CASE WHEN decision = 'ASD' THEN ap WHEN decision IN ('FACE_ONLY', 'SINGLE_FACE') THEN CASE WHEN id % 3 = 1 THEN 'spk_' || (id % 4) END WHEN decision = 'ASD_GUESS' THEN gp WHEN decision = 'SESSION_FACE' THEN hf WHEN decision = 'SESSION_HINT' THEN hint END AS person,
+                     coalesce(NOT {generic('gn')} AND ({gender_sql('gn')}) = g, false) AS m1, coalesce('female' = g, false) AS m2 FROM d),
+        o AS (SELECT *, m1 AND face IS DISTINCT FROM person AS o1, m2 AND 'spk_9' IS DISTINCT FROM person AS o2, CASE WHEN m1 AND NOT m2 THEN gn WHEN m2 AND NOT m1 THEN 'Carolina Lemos' END AS only_name,
+                     coalesce(name IS NOT NULL AND NOT {generic('name')} AND ({gender_sql('name')}) <> g, false) AS wrong FROM n),
+        p AS (SELECT *, active AND decision IN ('SESSION_HINT', 'SESSION_TRACKER') AND only_name IS NOT NULL AS f1, active AND visual AND name IS NOT NULL AND {generic('name')} AND starts_with(decision, 'ASD') AND only_name IS NOT NULL AS f2,
+                     active AND visual AND wrong AND (o1 OR o2) AS f3, coalesce(active AND visual AND wrong AND rc >= CAST(0.15 AS DOUBLE) AND ({gender_sql('rn')}) = g, false) AS f4, active AND visual AND wrong AS f5 FROM o)
+        SELECT id, CASE WHEN f1 THEN 'GENDER_FACE' WHEN f2 OR f3 THEN 'GENDER_REROUTE' WHEN f4 THEN 'GENDER_VERIFIER_HINT' WHEN f5 THEN 'GENDER_OVERRIDE' ELSE decision END AS final_decision,
+               coalesce(CASE WHEN f1 OR f2 THEN only_name WHEN f3 THEN CASE WHEN o1 THEN gn ELSE 'Carolina Lemos' END WHEN f4 THEN rn WHEN f5 THEN NULL ELSE name END, '') AS final_name FROM p
+    """
+
+
+ORACLE_SQL["gender_passes"] = _passes_sql()
 ORACLE_SQL["decision_cascade"] = f"""
     WITH {_cascade_sql()}
     SELECT id, decision, coalesce(CASE WHEN decision IN ('VERIFIER_HIGH', 'VERIFIER_MOD') THEN ch WHEN decision = 'VERIFIER_WEAK' THEN regexp_replace(rn, '[\\s\\x{{00A0}}]+\\d+$', '') WHEN decision = 'ASD' THEN an

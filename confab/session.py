@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (a single-machine session, as in tests) is a
-    temporary folder made.
+    Only where it is unset and all tasks run in this very process (a local
+    session, as in tests) is a temporary folder made; executors elsewhere could
+    not read it.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="confab-checkpoint-"))
 
 

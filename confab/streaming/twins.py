@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from confab.operators.dialogue import RepeatFilter
 from confab.operators.vectors import SpeakerTracker, _unit
 
+IDLE_MS = 12 * 3600 * 1000  # a session lasts less than twelve hours
 LATE = "40 seconds"  # how long the recorder keeps sound: later rows are dropped
 
 
@@ -31,11 +32,18 @@ def once(rows: DataFrame, at: str, keys: list[str]) -> DataFrame:
     return rows.withWatermark(at, LATE).dropDuplicatesWithinWatermark(keys)
 
 
-def stateful(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict | None], schema: str) -> DataFrame:
-    """A fold of ``confab.operators.dialogue`` over a stream: its state is kept between micro-batches, by key."""
+def stateful(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict | None], schema: str, idle: int | None = None) -> DataFrame:
+    """A fold of ``confab.operators.dialogue`` over a stream: its state is kept between micro-batches, by key.
+
+    The state of a key that brings no row for ``idle`` milliseconds goes, so
+    closed sessions don't stay for ever; one that opens again starts anew.
+    """
     columns = [c.strip().split()[0].strip("`") for c in schema.split(",")]
 
     def run(which: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         fold = pickle.loads(state.get[0]) if state.exists else start()
         out = []
         for row in pd.concat(list(parts)).sort_values(order, kind="stable").to_dict("records"):
@@ -43,15 +51,17 @@ def stateful(rows: DataFrame, key: str, order: list[str], start: Callable[[], ob
             if made is not None:
                 out.append({c: made[c] for c in columns})
         state.update((pickle.dumps(fold),))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=columns)
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "fold binary", "append", "NoTimeout")
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "fold binary", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
 def drop_repeats(entries: DataFrame) -> DataFrame:
     """Twin of ``dialogue.drop_repeats``."""
     step = lambda fold, r: r if fold.keep(r["at"], r["text"]) else None
-    return stateful(entries, "session_pk", ["seg_index", "id"], RepeatFilter, step, "session_pk bigint, seg_index bigint, id bigint, text string, at double")
+    return stateful(entries, "session_pk", ["seg_index", "id"], RepeatFilter, step, "session_pk bigint, seg_index bigint, id bigint, text string, at double", IDLE_MS)
 
 
 def track_speakers(rows: DataFrame, most: int | None = None) -> DataFrame:
@@ -61,4 +71,4 @@ def track_speakers(rows: DataFrame, most: int | None = None) -> DataFrame:
     def step(fold: SpeakerTracker, r: dict) -> dict:
         return {"session": r["session"], "ord": r["ord"], "speaker": fold.take(_unit(np.asarray(r["embedding"], np.float64)))}
 
-    return stateful(rows, "session", ["ord"], lambda: SpeakerTracker(most), step, "session bigint, ord bigint, speaker string")
+    return stateful(rows, "session", ["ord"], lambda: SpeakerTracker(most), step, "session bigint, ord bigint, speaker string", IDLE_MS)
