@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 _MASK = (1 << 64) - 1
 
@@ -27,6 +27,28 @@ def murmur64a(data: bytes, seed: int = 1) -> int:
     return h ^ h >> shift
 
 
+def bucket_keys(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Four 32-bit keys of each unsigned 64-bit id: the 128-bit MurmurHash3 for 64-bit machines (public domain definition) of its eight bytes."""
+    start, eight = np.uint64(seed & 0xFFFFFFFF), np.uint64(8)
+    turned = lambda x, by: x << np.uint64(by) | x >> np.uint64(64 - by)
+
+    def mixed(x):
+        for multiplier in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):  # fixed values of the hash
+            x = (x ^ x >> np.uint64(33)) * np.uint64(multiplier)
+        return x ^ x >> np.uint64(33)
+
+    with np.errstate(over="ignore"):
+        first = start ^ turned(np.asarray(ids, np.uint64) * np.uint64(0x87C37B91114253D5), 31) * np.uint64(0x4CF5AD432745937F)  # fixed values of the hash
+        a, b = first ^ eight, np.full(len(first), start ^ eight)
+        a = a + b
+        b = a + b
+        a, b = mixed(a), mixed(b)
+        a = a + b
+        b = a + b
+    low = np.uint64(0xFFFFFFFF)
+    return np.stack([a & low, a >> np.uint64(32), b & low, b >> np.uint64(32)], axis=1).astype(np.int64)
+
+
 def word_shape(token: str) -> str:
     """X, x and d for upper case, lower case and digits, runs cut at four; LONG for a hundred letters and more."""
     if len(token) >= 100:
@@ -46,6 +68,13 @@ def token_hash(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: None if t is None else signed(murmur64a(t.encode("utf-8", "replace")))).astype("Int64")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def token_buckets(tokens: pd.Series) -> pd.Series:
+    """The bucket keys of each token's hash, with seed 0."""
+    rows = bucket_keys(np.array([murmur64a((t or "").encode("utf-8", "replace")) for t in tokens], np.uint64), 0)
+    return pd.Series([None if t is None else row for t, row in zip(tokens, rows)], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def shape(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda t: None if t is None else word_shape(t))

@@ -11,6 +11,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+MOST_PROFILES = 32 << 20  # bytes of known vectors that go to every task
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -315,6 +319,29 @@ class FaceNamer:
         return best, 1.0
 
 
+def name_faces(faces: DataFrame, known: DataFrame, session: str) -> DataFrame:
+    """(session, frame, track, name, score) of face vectors (session, frame, at, track, embedding) by FaceNamer; a session is one recording.
+
+    ``known`` (name, centroid: unit vectors) holds the profiles, which go to
+    every task; how many bytes they have is checked.
+    """
+    size = known.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0)) * 8).first()[0]
+    if size > MOST_PROFILES:
+        raise ValueError(f"{size} bytes of profiles are too many for each task; identify the vectors with vectors.matches() first")
+    profiles = faces.sparkSession.sparkContext.broadcast({r[0]: np.asarray(r[1]) for r in known.orderBy("name").select("name", "centroid").collect()})
+    kind = faces.schema[session].dataType.simpleString()
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        namer, out = FaceNamer(known=dict(profiles.value)), []
+        for (frame, at), shown in part.sort_values(["frame", "track"]).groupby(["frame", "at"], sort=True):
+            vectors = {int(t): np.asarray(v, np.float64) for t, v in zip(shown["track"], shown["embedding"])}
+            named = namer.take(float(at), {t: v / (np.linalg.norm(v) + 1e-8) for t, v in vectors.items()})
+            out += [(key[0], frame, t, n, float(s)) for t, (n, s) in named.items()]
+        return pd.DataFrame(out, columns=[session, "frame", "track", "name", "score"])
+
+    return faces.select(session, "frame", "at", "track", "embedding").groupBy(session).applyInPandas(run, f"`{session}` {kind}, frame bigint, track bigint, name string, score double")
+
+
 def track_faces(detections: DataFrame, session: str) -> DataFrame:
     """Tracks of each session's detections (session, frame, det, x1, y1, x2, y2, confidence); a session is one recording."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -293,6 +294,22 @@ def consolidate(names: list[str], vectors: dict[str, np.ndarray], generic, least
     return {n: v for n, v in vectors.items() if n not in merged}, merged
 
 
+def merged_identities(rows: DataFrame, session: str, order: str, name: str, vector: str, least: float = 0.55) -> DataFrame:
+    """(session, name, into) of the identities of each session that consolidate() merges into another; a session knows few names."""
+    from confab.functions.columns import GENERIC
+
+    pattern = re.compile(GENERIC["registry"])
+    kind = rows.schema[session].dataType.simpleString()
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        held = {n: _unit(np.asarray(v, np.float64), 1e-8) for n, v in zip(part[name], part[vector])}
+        merged = consolidate(list(held), held, lambda n: bool(pattern.match(n)), least)[1]
+        return pd.DataFrame([(key[0], gone, kept) for gone, kept in merged.items()], columns=[session, name, "into"])
+
+    return rows.select(session, order, name, vector).groupBy(session).applyInPandas(run, f"`{session}` {kind}, `{name}` string, `into` string")
+
+
 # ---- agglomerative clustering ------------------------------------------------------------------------------------
 
 

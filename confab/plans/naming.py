@@ -63,7 +63,7 @@ def merged_turns(spark, d):
 
 def token_codes(spark, d):
     words = table(spark, d, "speakers").select("id", F.posexplode(F.split("name", r"\s+")).alias("n", "token")).filter("token <> ''")
-    return words.select("id", "n", codes.token_hash("token").alias("hash"), codes.shape("token").alias("shape"), codes.python_repr("token").alias("repr"), F.left("token", F.lit(1)).alias("prefix"), F.right("token", F.lit(3)).alias("suffix"))
+    return words.select("id", "n", codes.token_hash("token").alias("hash"), F.array_join(codes.token_buckets("token"), "/").alias("buckets"), codes.shape("token").alias("shape"), codes.python_repr("token").alias("repr"), F.left("token", F.lit(1)).alias("prefix"), F.right("token", F.lit(3)).alias("suffix"))
 
 
 QUERIES = {f.__name__: f for f in (last_speaker, last_speaker_all, llm_answers, powerset_decode, name_sets, speaking_states, face_persons, merged_turns, token_codes)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import audio
 from confab.functions.columns import half_even
-from confab.operators import tracking
+from confab.operators import tracking, vectors
 from confab.session import table
 
 
@@ -35,6 +35,16 @@ def _signals(spark, d):
     return rows.select("id", "hz", F.transform(F.sequence(F.lit(0), F.lit(15999)), lambda i: F.sin(i * F.col("hz") * 2 * 3.141592653589793 / 16000) * 0.3 + F.sin(i * F.col("hz") * 4 * 3.141592653589793 / 16000) * 0.1).alias("signal"))
 
 
+def face_names(spark, d):
+    """Names of tracks in recordings of four hundred vectors, one a frame, by the profiles of half the speakers."""
+    f = table(spark, d, "face_embeddings").filter("is_active = 1 and size(embedding) = 512").filter(F.exists("embedding", lambda x: x != 0))
+    known = vectors.centroids(f.filter("speaker_id % 2 = 0").withColumn("name", F.concat(F.lit("Rosto "), F.col("speaker_id").cast("string"))), "name", "embedding")
+    f = f.withColumn("session", F.floor(F.col("id") / 400))
+    frame = F.row_number().over(Window.partitionBy("session", "speaker_id").orderBy("id")).cast("bigint")
+    shown = f.select("session", frame.alias("frame"), (frame * 0.1).alias("at"), F.col("speaker_id").alias("track"), "embedding")
+    return tracking.name_faces(shown, known, "session").select("session", "frame", "track", "name", half_even(F.col("score"), 6).alias("score"))
+
+
 def pitch_gender(spark, d):
     return _signals(spark, d).select("id", "hz", F.coalesce(audio.gender_of_signal("signal"), F.lit("unknown")).alias("gender"))
 
@@ -51,8 +61,10 @@ def speech_spans(spark, d):
     return s.select("user_id", "n", "s.start", "s.end")
 
 
-QUERIES = {f.__name__: f for f in (face_tracks, box_suppression, pitch_gender, loudness, speech_spans)}
+QUERIES = {f.__name__: f for f in (face_tracks, box_suppression, face_names, pitch_gender, loudness, speech_spans)}
 ORACLE_SQL = {
+    # the estimate of a clean tone is at most a little above its frequency, so 155 Hz counts as above
+    "pitch_gender": "SELECT id, CAST(90 + id % 150 AS DOUBLE) AS hz, CASE WHEN id % 150 >= 65 THEN 'female' WHEN id % 150 < 50 THEN 'male' ELSE 'unknown' END AS gender FROM speakers",
     # a signal at the target level, or at the highest that its peak allows
     "loudness": """
         WITH s AS (SELECT id, 90 + id % 150 AS hz FROM speakers), x AS (SELECT id, sin(i * CAST(hz AS DOUBLE) * 2 * pi() / 16000) * CAST(0.3 AS DOUBLE) + sin(i * CAST(hz AS DOUBLE) * 4 * pi() / 16000) * CAST(0.1 AS DOUBLE) AS x FROM s, range(0, 16000) r(i)),

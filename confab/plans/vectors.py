@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from confab.functions.columns import half_even, unit
-from confab.operators import decide, vectors
+from confab.operators import decide, pipeline, vectors
 from confab.session import table
 
 
@@ -87,8 +87,26 @@ def gender_passes(spark, d):
     return done.select("id", "final_decision", F.coalesce("final_name", F.lit("")).alias("final_name"))
 
 
+def segment_pipeline(spark, d):
+    """Accepted segments with who said them, what was missed, and the decision type of their metrics record."""
+    c = F.col
+    s = table(spark, d, "segments").filter("text is not null and raw_conf is not null").select(
+        "id", "timestamp", "text", "final_speaker", "segment_ms", "whisper_ms", "verifier_ms", (c("raw_conf") * 2 - 2).alias("avg_logprob"), F.greatest(F.lit(0.0), 0.6 - c("raw_conf")).alias("avg_no_speech"), (F.coalesce(c("segment_ms"), F.lit(0.0)) / 1000).alias("duration_s"),
+        F.array(F.struct(F.coalesce("raw_best_name", F.lit("Unknown")).alias("name"), c("raw_conf").alias("score"))).alias("candidates"), F.lit(False).alias("known"), F.lit(1).alias("identified"), F.lit(4).alias("expected_speakers"),
+    )
+    done = pipeline.attributed(_evidence(spark, d).join(s, "id"))
+    return done.select("id", "final_decision", F.coalesce("final_name", F.lit("")).alias("final_name"), "label", F.array_join("missed", "|").alias("missed"), F.get_json_object("record", "$.decision_type").alias("recorded"))
+
+
+def merged_identities(spark, d):
+    """Identities, one for each voice file, in sessions of two hundred files, with what absorbed them: anonymous ones join the identity that they sound like."""
+    name = F.concat(F.when(F.col("id") % 2 == 0, "Person_").otherwise("Voz "), F.col("id").cast("string"))
+    v = _voices(spark, d).select(F.floor(F.col("id") / 200).alias("session"), F.col("id").alias("ord"), name.alias("name"), "embedding")
+    return vectors.merged_identities(v, "session", "ord", "name", "embedding")
+
+
 QUERIES = {
-    f.__name__: f for f in (speaker_identify, speaker_candidates, margin_rule, buffer_diversity, cluster_assign, homonym_split, session_tracker, auto_enroll, agglomerative_clusters, decision_cascade, gender_passes)
+    f.__name__: f for f in (speaker_identify, speaker_candidates, margin_rule, buffer_diversity, cluster_assign, homonym_split, session_tracker, auto_enroll, agglomerative_clusters, decision_cascade, gender_passes, segment_pipeline, merged_identities)
 }
 
 _SCORES = """
@@ -156,7 +174,21 @@ def _passes_sql() -> str:
     """
 
 
+def _pipeline_sql() -> str:
+    """The cascade and its passes over the accepted segments, with label and reasons."""
+    from confab.plans.reports import _GENERIC
+    from confab.plans.text import ORACLE_SQL as TEXTS
+
+    generic = f"coalesce({_GENERIC.format('p.final_name')}, true)"
+    return f"""
+        SELECT p.id, p.final_decision, p.final_name, '(' || CASE WHEN p.final_name <> '' AND NOT {generic} THEN p.final_name ELSE coalesce(s.final_speaker, '?') END || ')' AS label,
+               CASE WHEN starts_with(p.final_decision, 'VERIFIER') THEN '' WHEN s.raw_best_name <> 'Unknown' AND s.raw_conf >= CAST(0.45 AS DOUBLE) AND s.raw_conf < CAST(0.8 AS DOUBLE) THEN 'BELOW_THRESHOLD' ELSE '' END AS missed, p.final_decision AS recorded
+        FROM ({_passes_sql()}) p JOIN segments s USING (id) JOIN ({TEXTS['transcript_filter']}) f USING (id) WHERE f.verdict = 'accepted'
+    """
+
+
 ORACLE_SQL["gender_passes"] = _passes_sql()
+ORACLE_SQL["segment_pipeline"] = _pipeline_sql()
 ORACLE_SQL["decision_cascade"] = f"""
     WITH {_cascade_sql()}
     SELECT id, decision, coalesce(CASE WHEN decision IN ('VERIFIER_HIGH', 'VERIFIER_MOD') THEN ch WHEN decision = 'VERIFIER_WEAK' THEN regexp_replace(rn, '[\\s\\x{{00A0}}]+\\d+$', '') WHEN decision = 'ASD' THEN an
