@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions.columns import clean_file_name, is_generic, strip_homonym, unit
+from confab.functions.text import corrected_name, gender_of, introduced_name, title_case
 
 # Decisions that rest on a face or a voice.
 CONFIRMING = ("ASD", "ASD_GUESS", "FACE_ONLY", "SINGLE_FACE", "GENDER_FACE", "GENDER_REROUTE", "VERIFIER_HIGH", "VERIFIER_MOD", "VERIFIER_WEAK")
@@ -112,3 +113,40 @@ def post_session(pending: DataFrame, given: DataFrame) -> DataFrame:
     """(session_pk, speaker, name, seconds): anonymous speakers to whom somebody gave a name after the session; blank names don't count."""
     names = given.select("session_pk", "speaker", stripped(F.col("name")).alias("name")).filter("name <> ''")
     return pending.join(names, ["session_pk", "speaker"]).select("session_pk", "speaker", "name", "seconds")
+
+
+def introduced(segments: DataFrame, order: list[str]) -> DataFrame:
+    """(session_pk, speaker, name): the first name by which a speaker without a real name introduces themselves.
+
+    Needs session_pk, speaker, known (whether the speaker has a real name), text
+    and gender; the name is put in title case and made to fit a known gender.
+    """
+    heard = segments.withColumn("said", introduced_name(F.col("text"))).filter(F.col("said").isNotNull() & ~F.col("known"))
+    first = heard.groupBy("session_pk", "speaker").agg(F.min_by(F.struct("said", "gender"), F.struct(*order)).alias("v"))
+    return first.select("session_pk", "speaker", corrected_name(title_case(F.col("v.said")), F.col("v.gender")).alias("name"))
+
+
+def face_voices(seen: DataFrame, stored: DataFrame, cooldown: float = 120.0, least_sec: float = 3.0, silence: float = 1e-4) -> DataFrame:
+    """(name, at) of the moments at which a recognised face that speaks gives its name a voice.
+
+    ``seen`` has name, at, seconds, rms and gender; ``stored`` the names that
+    have a voice.  A try uses up its name's cool-down whether it succeeds or not;
+    it fails on short or silent sound and on a voice of the other gender.
+    """
+    faces = seen.filter(~is_generic(F.col("name"))).join(stored.select("name").distinct(), "name", "left_anti")
+    tried = spaced(faces, "name", "at", cooldown)
+    good = (F.col("seconds") >= least_sec) & (F.col("rms") >= silence) & F.coalesce(gender_of(F.col("name")) == F.col("gender"), F.lit(True))
+    return tried.join(faces, ["name", "at"]).filter(good).select("name", "at")
+
+
+def camera_names(decided: DataFrame, order: list[str]) -> DataFrame:
+    """(session_pk, face, name): the name that a confirmed voice first gives to an anonymous face which moves while it speaks.
+
+    Needs session_pk, person (who speaks), final_name, face (the person of the
+    moving face), face_name and shown (the name that the camera confirmed for
+    it).  A face that is the speaker's own, or that the camera knows under
+    another real name, is left alone.
+    """
+    confirmed = ~is_generic(F.col("shown")) & (F.col("shown") != F.col("final_name"))
+    fits = ~is_generic(F.col("final_name")) & F.col("face").isNotNull() & ~F.col("face").eqNullSafe(F.col("person")) & is_generic(F.col("face_name")) & ~F.coalesce(confirmed, F.lit(False))
+    return decided.filter(fits).groupBy("session_pk", "face").agg(F.min_by("final_name", F.struct(*order)).alias("name"))

@@ -217,6 +217,8 @@ class FaceNamer:
     fails: dict[int, int] = field(default_factory=dict)
     seen: dict[int, float] = field(default_factory=dict)
     strangers: int = 0
+    listed: list[str] = field(default_factory=list)
+    matrix: np.ndarray | None = None
 
     @staticmethod
     def generic(name: str) -> bool:
@@ -242,11 +244,18 @@ class FaceNamer:
         return out
 
     def _best(self, v: np.ndarray) -> tuple[str | None, float]:
+        best, score = self._nearest(v)
+        return (best if score >= self.match else None), score
+
+    def _nearest(self, v: np.ndarray) -> tuple[str | None, float]:
+        """The known name nearest to a vector, the first of equals; profiles are only ever added."""
         if not self.known:
             return None, -1.0
-        scores = {n: float(v @ k) for n, k in self.known.items()}
-        best = max(scores, key=scores.get)
-        return (best if scores[best] >= self.match else None), scores[best]
+        if len(self.listed) != len(self.known):
+            self.listed, self.matrix = list(self.known), np.stack(list(self.known.values()))
+        likeness = self.matrix @ v
+        best = int(likeness.argmax())
+        return self.listed[best], float(likeness[best])
 
     def _confirmed(self, t: int, name: str, score: float, v: np.ndarray, claimed: dict[str, int]) -> str | None:
         if claimed.get(name, t) != t:
@@ -307,9 +316,8 @@ class FaceNamer:
         mean = total / n
         mean = mean / (np.linalg.norm(mean) + 1e-8)
         live = {name for o, name in self.names.items() if o != t and at - self.seen.get(o, 0.0) < 2.0}
-        scores = {k: float(mean @ k_v) for k, k_v in self.known.items()}
-        best = max(scores, key=scores.get) if scores else None
-        if best is None or scores[best] < self.merge or best in live:
+        best, score = self._nearest(mean)
+        if best is None or score < self.merge or best in live:
             self.strangers += 1
             best = f"Person_{self.strangers}"
             self.known[best] = mean

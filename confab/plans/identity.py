@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from confab.functions import wordlists as W
 from confab.functions.columns import half_even, is_generic
 from confab.operators import identity, reports, store
-from confab.plans.reports import _GENERIC
+from confab.plans.reports import _GENERIC, gender_sql
+from confab.plans.text import TITLE, listed, sql_pattern
 from confab.session import table
 
 
@@ -93,6 +94,31 @@ def sql_scan(spark, d):
     return store.run_sql({"segments": table(spark, d, "segments"), "sessions": table(spark, d, "sessions")}, "SELECT s.session_id, count(*) AS n FROM {segments} g JOIN {sessions} s ON s.id = g.session_pk WHERE g.raw_conf >= :least GROUP BY s.session_id", {"least": 0.5})
 
 
+def introduced_speakers(spark, d):
+    """Names by which speakers introduce themselves; speakers' notes of their names stand in for their first words."""
+    s = _segments(spark, d).filter("final_speaker is not null").select("session_pk", F.col("final_speaker").alias("speaker"), "seg_index", "id", (F.col("id") % 3 == 0).alias("known"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("Olá, eu sou "), F.coalesce("final_name", F.lit("alguém")))).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("gender"))
+    return identity.introduced(s, ["seg_index", "id"])
+
+
+def face_voices(spark, d):
+    e = table(spark, d, "events")
+    name = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("Person_"), F.col("user_id").cast("string"))).otherwise(F.concat(F.when(F.col("user_id") % 2 == 0, "Ana ").otherwise("Bruno "), F.col("user_id").cast("string")))
+    seen = e.select(name.alias("name"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") / 10).alias("seconds"), (F.col("value") / 1000).alias("rms"), F.when(F.col("event_id") % 3 == 0, "female").when(F.col("event_id") % 3 == 1, "male").alias("gender"))
+    stored = table(spark, d, "speakers").select(F.concat(F.lit("Ana "), (F.col("id") * 4).cast("string")).alias("name")).filter("name < 'Ana 5'")
+    return identity.face_voices(seen, stored, cooldown=36_000_000_000).select("name", F.col("at").alias("moment"))
+
+
+def camera_names(spark, d):
+    s = _segments(spark, d).select("session_pk", "seg_index", "id", F.col("final_speaker").alias("person"), "final_name", F.when(F.col("id") % 4 < 3, F.concat(F.lit("face_"), (F.col("id") % 6).cast("string"))).alias("face"), F.when(F.col("id") % 5 < 3, F.lit("Person_1")).otherwise(F.lit("Ana Lima")).alias("face_name"), F.when(F.col("id") % 7 == 0, F.lit("Bia Souza")).when(F.col("id") % 7 == 1, F.col("final_name")).alias("shown"))
+    return identity.camera_names(s, ["seg_index", "id"])
+
+
+def rename_cycle(spark, d):
+    """Stored voices after a person is renamed: moved files, all but the newest eight of each person gone."""
+    moved = store.rename_prefixed(_bases(spark, d), "spk00001", "Convidada")
+    return identity.pruned_files(moved, "id").select("id", "base", "person")
+
+
 def store_columns(spark, d):
     """Columns of the store's tables as declared."""
     rows = [(name, column, i) for name, ddl in store.SCHEMAS.items() for i, column in enumerate(spark.createDataFrame([], ddl).columns, 1)]
@@ -101,7 +127,7 @@ def store_columns(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (person_ids, bound_faces, voice_buffers, stored_voices, live_saves, face_enrolments, replaced_profiles, pruned_files, spaced_runs, post_session, mirrored_voices, speaker_vectors, sql_scan, store_columns)
+    for f in (person_ids, bound_faces, voice_buffers, stored_voices, live_saves, face_enrolments, replaced_profiles, pruned_files, spaced_runs, post_session, mirrored_voices, speaker_vectors, introduced_speakers, face_voices, camera_names, rename_cycle, sql_scan, store_columns)
 }
 
 _BASE = "regexp_replace(source_file, '\\.(npy|json)$', '')"
@@ -110,7 +136,28 @@ _STRIPPED = "regexp_replace({0}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g
 _STORED = "EXISTS (SELECT 1 FROM {files} f WHERE lower(f.base) = lower(" + _STRIPPED.format("{name}").replace("{00A0}", "{{00A0}}") + ") OR starts_with(lower(f.base), lower(" + _STRIPPED.format("{name}").replace("{00A0}", "{{00A0}}") + ") || '_'))"
 _BLOCKED = ", ".join(f"'{w}'" for w in ("unknown", *W.NOT_VOCATIVES))
 _NO_NUMBER = _STRIPPED.format("regexp_replace(name, '[\\s\\x{00A0}]+\\d+$', '')")
+_INTRODUCED = ", ".join(f"CASE WHEN lower(regexp_extract({n}, '^[^\\s\\x{{00A0}}]*')) NOT IN ({listed(W.NOT_NAMES)}) THEN {n} END" for n in (f"nullif(regexp_extract(text, '{sql_pattern(p)}', 1), '')" for p in W.INTRODUCTIONS))
 ORACLE_SQL = {
+    "introduced_speakers": f"""
+        WITH s AS (SELECT session_pk, final_speaker AS speaker, seg_index, id, CASE WHEN id % 5 = 0 THEN 'Olá, eu sou ' || coalesce(final_name, 'alguém') ELSE text END AS text FROM segments WHERE seg_index IS NOT NULL AND final_speaker IS NOT NULL AND id % 3 <> 0),
+        h AS (SELECT *, coalesce({_INTRODUCED}) AS name FROM s), f AS (SELECT session_pk, speaker, arg_min(name, struct_pack(a := seg_index, b := id)) AS name FROM h WHERE name IS NOT NULL GROUP BY 1, 2)
+        SELECT session_pk, speaker, {TITLE} AS name FROM f
+    """,
+    "face_voices": f"""
+        WITH RECURSIVE k AS (SELECT CASE WHEN user_id % 7 = 0 THEN 'Person_' || user_id WHEN user_id % 2 = 0 THEN 'Ana ' || user_id ELSE 'Bruno ' || user_id END AS name, epoch_us(ts) AS moment, value / 10 AS seconds, value / 1000 AS rms, CASE event_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS gender FROM events),
+        e AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY moment) AS n FROM k WHERE name NOT LIKE 'Person_%' AND name NOT IN (SELECT 'Ana ' || (id * 4) FROM speakers WHERE 'Ana ' || (id * 4) < 'Ana 5')),
+        r AS (SELECT name, n, moment, moment AS kept, seconds, rms, gender FROM e WHERE n = 1 UNION ALL SELECT e.name, e.n, e.moment, CASE WHEN e.moment - r.kept >= 36000000000 THEN e.moment ELSE r.kept END, e.seconds, e.rms, e.gender FROM r JOIN e ON e.name = r.name AND e.n = r.n + 1)
+        SELECT name, moment FROM r WHERE moment = kept AND seconds >= 3 AND rms >= CAST(1e-4 AS DOUBLE) AND coalesce(({gender_sql('name')}) = gender, true)
+    """,
+    "camera_names": f"""
+        WITH s AS (SELECT session_pk, seg_index, id, final_speaker AS person, final_name, CASE WHEN id % 4 < 3 THEN 'face_' || (id % 6) END AS face, CASE WHEN id % 5 < 3 THEN 'Person_1' ELSE 'Ana Lima' END AS face_name, CASE WHEN id % 7 = 0 THEN 'Bia Souza' WHEN id % 7 = 1 THEN final_name END AS shown FROM segments WHERE seg_index IS NOT NULL)
+        SELECT session_pk, face, arg_min(final_name, struct_pack(a := seg_index, b := id)) AS name FROM s
+        WHERE NOT coalesce({_GENERIC.format('final_name')}, true) AND face IS NOT NULL AND face IS DISTINCT FROM person AND face_name = 'Person_1' AND NOT coalesce(NOT {_GENERIC.format('shown')} AND shown <> final_name, false) GROUP BY 1, 2
+    """,
+    "rename_cycle": f"""
+        WITH f AS (SELECT id, {_BASE} AS b FROM voice_embeddings WHERE source_file IS NOT NULL), m AS (SELECT id, CASE WHEN b = 'spk00001' OR starts_with(b, 'spk00001_') THEN 'Convidada' || substr(b, 9) ELSE b END AS base FROM f), p AS (SELECT id, base, {_PERSON} AS person FROM m)
+        SELECT id, base, person FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY id DESC) AS n FROM p) WHERE n <= 8
+    """,
     "person_ids": f"""
         WITH f AS (SELECT session_pk, final_name, min(struct_pack(a := seg_index, b := id)) AS f FROM segments WHERE seg_index IS NOT NULL AND NOT coalesce({_GENERIC.format('final_name')}, true) GROUP BY 1, 2)
         SELECT session_pk, final_name, printf('spk_%03d', row_number() OVER (PARTITION BY session_pk ORDER BY f, final_name)) AS person FROM f

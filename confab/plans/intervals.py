@@ -140,6 +140,14 @@ def padded_segments(spark, d):
     return p.select("id", *(half_even(F.col(c), 4).alias(c) for c in ("start", "end", "heard_from", "heard_to")))
 
 
+def chunk_pipeline(spark, d):
+    """Turns of each stream that is not silent, clipped to the new zone and padded for the recogniser."""
+    loud = table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("peak")).filter("peak >= 1").select("user_id")
+    turns = intervals.activity_turns(_frames(spark, d).join(loud, "user_id", "left_semi"), "user_id", "frame", "active", FRAME)
+    zones = turns.select("user_id", F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), F.lit(3.0).alias("zone"), F.lit(12.0).alias("total"))
+    return intervals.pad_segments(zones).select("user_id", *(half_even(F.col(c), 4).alias(c) for c in ("start", "end", "heard_from", "heard_to")))
+
+
 def face_slices(spark, d):
     s = table(spark, d, "events").select("event_id", intervals.slice_bounds(F.floor("value").cast("int") - 20, F.floor(F.col("value") * 2).cast("int") - 60, F.lit(64)).alias("s"))
     return s.select("event_id", F.coalesce("s.from", F.lit(-1)).alias("from_px"), F.coalesce("s.to", F.lit(-1)).alias("to_px"))
@@ -149,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         speech_turns, binarized_turns, overlap_add, cluster_activations, top_active, active_speaker, active_in_session, loudest_mover, asof_previous, chunk_windows, chunk_windows_low_latency, recent_mean, frame_diff, topn_per_frame,
-        label_dedup, confidence_split, sampled_scores, padded_segments, face_slices,
+        label_dedup, confidence_split, sampled_scores, padded_segments, chunk_pipeline, face_slices,
     )
 }
 
@@ -172,6 +180,16 @@ ORACLE_SQL = {
         g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s) AS grp FROM n)
         SELECT user_id, CAST(min(s) AS DOUBLE) AS start_sec, CAST(max(e) AS DOUBLE) AS end_sec FROM g GROUP BY user_id, grp HAVING CAST(max(e) AS DOUBLE) - CAST(min(s) AS DOUBLE) >= 0.5
     """,
+    "chunk_pipeline": f"""
+        WITH {_FRAMES}, i AS (SELECT user_id, frame, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS g FROM f WHERE event_type IN ('view', 'click') AND user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(value) >= 1)),
+        r AS (SELECT user_id, min(frame) * 0.2 AS s, (max(frame) + 1) * 0.2 AS e FROM i GROUP BY user_id, g),
+        n AS (SELECT *, CASE WHEN CAST(s AS DOUBLE) - lag(CAST(e AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY s) < 0.5 THEN 0 ELSE 1 END AS new FROM r),
+        g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s) AS grp FROM n),
+        t AS (SELECT user_id, CAST(min(s) AS DOUBLE) AS s, CAST(max(e) AS DOUBLE) AS e FROM g GROUP BY user_id, grp HAVING CAST(max(e) AS DOUBLE) - CAST(min(s) AS DOUBLE) >= 0.5),
+        c AS (SELECT user_id, greatest(s, 3.0) AS s, least(e, 12.0) AS e FROM t), k AS (SELECT *, greatest(0.0, 2.0 - (e - s)) AS miss FROM c WHERE e - s >= 0.5),
+        b AS (SELECT *, greatest(0.0, least(s - 3.0, miss / 2)) AS before FROM k), a AS (SELECT *, greatest(0.0, least(12.0 - e, miss - before)) AS after FROM b)
+        SELECT user_id, round_even(s * 1e4, 0) / 1e4 AS start, round_even(e * 1e4, 0) / 1e4 AS "end", round_even((s - before) * 1e4, 0) / 1e4 AS heard_from, round_even((e + after) * 1e4, 0) / 1e4 AS heard_to FROM a
+    """,
     "binarized_turns": """
         WITH f AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS frame, value > 50 AS active FROM events),
         c AS (SELECT *, CASE WHEN lag(active) OVER w = active THEN 0 ELSE 1 END AS ch, max(frame) OVER (PARTITION BY user_id, event_type) AS last FROM f WINDOW w AS (PARTITION BY user_id, event_type ORDER BY frame)),

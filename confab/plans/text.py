@@ -138,19 +138,19 @@ def _filter_sql() -> str:
 ORACLE_SQL["transcript_filter"] = _filter_sql()
 
 
-def _sql_pattern(pattern: str) -> str:
+def sql_pattern(pattern: str) -> str:
     """A pattern for SQL text: white space of any kind, quotes doubled."""
     return pattern.replace("\\s", "[\\s\\x{00A0}]").replace("'", "''")
 
 
-def _listed(words) -> str:
+def listed(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
 def _introductions_sql() -> str:
-    found = [f"nullif(regexp_extract(text, '{_sql_pattern(p)}', 1), '')" for p in W.INTRODUCTIONS]
+    found = [f"nullif(regexp_extract(text, '{sql_pattern(p)}', 1), '')" for p in W.INTRODUCTIONS]
     first = lambda n: f"lower(regexp_extract({n}, '^[^\\s\\x{{00A0}}]*'))"
-    picked = ", ".join(f"CASE WHEN {first(n)} NOT IN ({_listed(W.NOT_NAMES)}) THEN {n} END" for n in found)
+    picked = ", ".join(f"CASE WHEN {first(n)} NOT IN ({listed(W.NOT_NAMES)}) THEN {n} END" for n in found)
     return f"""
         WITH t AS (SELECT id, 'Boa tarde, meu nome é ' || array_to_string(list_transform(string_split(regexp_replace(name, '[^\\p{{L}} ]', '', 'g'), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || '.' AS text FROM speakers
                    UNION ALL SELECT id + 1000000000, text FROM segments WHERE text IS NOT NULL)
@@ -159,10 +159,10 @@ def _introductions_sql() -> str:
 
 
 def _context_sql() -> str:
-    valid = lambda n: f"(length({n}) >= 2 AND regexp_matches({n}, '^\\p{{Lu}}') AND lower({n}) NOT IN ({_listed(W.NOT_VOCATIVES)}) AND NOT regexp_full_match({n}, '(Person_\\d+|spk_\\d+)'))"
-    found = [f"nullif(regexp_extract(text, '{_sql_pattern(p)}', 1), '')" for p in W.VOCATIVES] + [f"nullif(regexp_extract(text, '(?i){_sql_pattern(p)}', 1), '')" for p in W.INVITATIONS]
+    valid = lambda n: f"(length({n}) >= 2 AND regexp_matches({n}, '^\\p{{Lu}}') AND lower({n}) NOT IN ({listed(W.NOT_VOCATIVES)}) AND NOT regexp_full_match({n}, '(Person_\\d+|spk_\\d+)'))"
+    found = [f"nullif(regexp_extract(text, '{sql_pattern(p)}', 1), '')" for p in W.VOCATIVES] + [f"nullif(regexp_extract(text, '(?i){sql_pattern(p)}', 1), '')" for p in W.INVITATIONS]
     called = ", ".join(f"CASE WHEN {valid(n)} THEN {n} END" for n in found)
-    spoken = "list_concat(" + ", ".join(f"regexp_extract_all(text, '{_sql_pattern(p)}', 1)" for p in W.MENTIONS) + ")"
+    spoken = "list_concat(" + ", ".join(f"regexp_extract_all(text, '{sql_pattern(p)}', 1)" for p in W.MENTIONS) + ")"
     return f"""
         WITH t AS (SELECT id, coalesce({called}, '') AS addressee, list_filter({spoken}, lambda m: {valid('m')}) AS m FROM segments WHERE text IS NOT NULL),
         u AS (SELECT id, addressee, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), '|') AS mentioned FROM t)
@@ -173,11 +173,13 @@ def _context_sql() -> str:
 _TRIMMED = "regexp_replace(replace(name, chr(160), ' '), '^\\s+|\\s+$', '', 'g')"
 _PLAIN_NAME = f"strip_accents(lower({_TRIMMED}))"
 _LETTERS = "string_split(name, '')"
+#: SQL text for the column ``name`` in title case.
+TITLE = f"CASE WHEN name = '' THEN '' ELSE array_to_string(list_transform({_LETTERS}, lambda c, i: CASE WHEN i = 1 OR NOT regexp_full_match({_LETTERS}[i - 1], '\\p{{L}}') THEN upper(c) ELSE lower(c) END), '') END"
 ORACLE_SQL |= {
     "self_introductions": _introductions_sql(),
     "context_names": _context_sql(),
     "title_and_slug": f"""
-        SELECT id, CASE WHEN name = '' THEN '' ELSE array_to_string(list_transform({_LETTERS}, lambda c, i: CASE WHEN i = 1 OR NOT regexp_full_match({_LETTERS}[i - 1], '\\p{{L}}') THEN upper(c) ELSE lower(c) END), '') END AS title,
+        SELECT id, {TITLE} AS title,
                coalesce(nullif(regexp_replace(regexp_replace({_PLAIN_NAME}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'voice') AS slug, {_PLAIN_NAME} AS plain FROM speakers WHERE name IS NOT NULL
         UNION ALL SELECT id, NULL, NULL, NULL FROM speakers WHERE name IS NULL
     """,
