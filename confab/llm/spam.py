@@ -41,6 +41,7 @@ LEAST_WORDS = 5
 PROSE = (1.0, 12, 0.13)  # compression ratio of ordinary prose at a length class, and its growth a class; the most that a class's median may be
 PRIOR = 50  # blocks of all languages that a language and length class counts beside its own
 MOST_OF = 0.5
+DENSE = (5, 0.05)  # how often, and with what share of the words, a text is full of a word
 
 INVISIBLE = re.compile("[­͏؜᠎​‌‍⁠﻿]")
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+", re.I)
@@ -89,14 +90,15 @@ def _repeats(words: list[str]) -> float:
     return 1 - len(set(words)) / len(words) if words else 0.0
 
 
-def _piles_up(sentence: list[str]) -> bool:
-    """Whether a sentence says the same thing three times, and hardly anything else."""
-    if len(sentence) - len(set(sentence)) < 2:
+def _piles_up(sentence: list[str], dense: set[str]) -> bool:
+    """Whether a sentence says the same thing three times - twice where the whole text is full of it - and hardly anything else."""
+    if len(sentence) == len(set(sentence)):
         return False
     pairs = list(zip(sentence, sentence[1:]))
     twice = Counter(p for p in pairs if max(map(len, p)) >= 4)
     once = Counter(w for w in sentence if len(w) >= 5)
-    if max([*twice.values(), *once.values(), 0]) < 3:
+    most = max([*twice.values(), *once.values(), 0])
+    if most < 2 or most < 3 and not any(n > 1 and w in dense for w, n in once.items()):
         return False
     covered = [once[w] >= 2 for w in sentence]
     for k, p in enumerate(pairs):
@@ -145,7 +147,7 @@ def keyword_share(text: str) -> tuple[float, int]:
             if len(words) >= 9 and (len(items) >= 4 and len(words) <= 6 * len(items) or not re.search(r"[.!?…]\s", line)):
                 underscored = len(re.findall(r"\w+[_-]\w+", line)) / len(items) if items else 0
                 total += len(words)
-                if _repeats(words) >= 0.3 or underscored >= 0.5:
+                if _repeats(words) >= 0.2 or underscored >= 0.5:
                     junk += len(words)
                 continue
         asked: list[str] = []  # a short question goes with the sentence that answers it
@@ -168,16 +170,20 @@ def keyword_share(text: str) -> tuple[float, int]:
     # short entries are key words where many of them come again; a few entries are headings
     flat = [w for own in entries for w in own]
     total += len(flat)
-    if len(entries) >= 5 and len(flat) <= 8 * len(entries) and _repeats(flat) >= 0.45:
+    if len(entries) >= 5 and len(flat) <= 8 * len(entries) and _repeats(flat) >= 0.3:
         junk += len(flat)
     # a sentence is made of key phrases where it says the same thing again and again
+    spoken = Counter(w for s in sentences for w in s)
     total += sum(map(len, sentences))
-    junk += sum(len(s) for s in sentences if _piles_up(s))
+    dense = {w for w, n in spoken.items() if n >= DENSE[0] and n >= DENSE[1] * total}
+    junk += sum(len(s) for s in sentences if _piles_up(s, dense))
     return (junk / total if total else 0.0), total
 
 
 def block_ratios(text: str) -> list[tuple[int, float]]:
     """(length, compression ratio) of each block of a text."""
+    if "://" in text or "www." in text.lower():
+        text = URL.sub("https://", text)  # an address is one sign of the page; its letters say nothing about redundancy
     out = []
     for at in range(0, len(text), BLOCK_CHARS):
         data = text[at : at + BLOCK_CHARS].encode("utf-8", "replace")
