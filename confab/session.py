@@ -36,6 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_bare(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` and forget what its plan knew of order, partitions and constraints.
+
+    For loops: a checkpoint keeps that knowledge, and where each round joins the
+    checkpoints of the one before, it doubles from round to round until the
+    driver does nothing but plan.
+    """
+    kept = cut(df)
+    spark = df.sparkSession
+    rows = kept._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+
+
 def local_session(app: str = "confab", cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session on one machine for tests and bench runs."""
     spark = (
