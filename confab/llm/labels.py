@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.llm.names import compact, deletions, digits, one_slip
-from confab.session import cut
+from confab.session import cut, cut_bare
 
 LEAST = 4  # shorter keys are taken as written
 EDGE = 8  # letters of head and tail by which two slips of a missing label meet
@@ -65,4 +65,4 @@ def _roots(direct: DataFrame) -> DataFrame:
         further = up.select("entity", "digits", F.col("key").alias("root"), F.col("root").alias("top"))
         if up.join(further, ["entity", "digits", "root"], "left_semi").isEmpty():
             return up
-        up = cut(up.join(further, ["entity", "digits", "root"], "left").select("entity", "digits", "key", F.coalesce("top", "root").alias("root")))
+        up = cut_bare(up.join(further, ["entity", "digits", "root"], "left").select("entity", "digits", "key", F.coalesce("top", "root").alias("root")))

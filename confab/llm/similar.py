@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.llm.components import components
-from confab.session import cut
+from confab.session import cut, cut_bare
 
 CURVES, DIMS, BITS = 8, 8, 6
 SKETCH, SKETCH_SCALE = 96, 317.0
@@ -392,7 +392,7 @@ def _large_neighbours(large: DataFrame, vectors: DataFrame, k: int, least: float
         if best is not None:
             pool = pool.unionByName(best.select("node", "neighbour", "similarity", F.lit(0).alias("new")))
         pool = pool.groupBy("node", "neighbour").agg(F.max("similarity").alias("similarity"), F.min("new").alias("new"))
-        best = cut(pool.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1))
+        best = cut_bare(pool.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1))
         changed = best.filter(F.col("rank") <= k).agg(F.avg("new")).first()[0]
         if turn and (changed is None or changed < SETTLED):
             break
