@@ -77,6 +77,17 @@ QUERIES: dict[str, Query] = {
 }
 
 #: SQL twins; the other operators are tested against brute force, libraries and round trips.
+def _near_sql(table: str, dim: int) -> str:
+    """Every usual vector's five most similar others of cosine 0.70 or more: all pairs are compared."""
+    return f"""
+        SELECT id, neighbour, sim, rank FROM (
+            SELECT a.id, b.id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS sim, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) AS rank
+            FROM (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM {table} WHERE is_active = 1 AND len(embedding) = {dim} AND list_sum(list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE))) > 0) a
+            JOIN (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM {table} WHERE is_active = 1 AND len(embedding) = {dim} AND list_sum(list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE))) > 0) b ON a.id <> b.id
+        ) WHERE sim >= 0.70 AND rank <= 5
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "p6_round_trip": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
     # exact: every pair of usual vectors is compared
@@ -91,4 +102,8 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, round(sim, 6) AS similarity FROM r WHERE rank <= 5
     """,
+    "p1_found": f"""
+        SELECT DISTINCT 'voice' AS modality, least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM ({_near_sql('voice_embeddings', 192)})
+        UNION ALL SELECT DISTINCT 'face', least(id, neighbour), greatest(id, neighbour) FROM ({_near_sql('face_embeddings', 512)})
+    """,
 }
