@@ -36,7 +36,9 @@ def stateful(rows: DataFrame, key: str, order: list[str], start: Callable[[], ob
     """A fold of ``confab.operators.dialogue`` over a stream: its state is kept between micro-batches, by key.
 
     The state of a key that brings no row for ``idle`` milliseconds goes, so
-    closed sessions don't stay for ever; one that opens again starts anew.
+    closed sessions don't stay for ever (IDLE_MS suits sessions); one that opens
+    again starts anew.  A query with such a timeout runs until it is stopped, so
+    it is not for the trigger that ends with the data at hand.
     """
     columns = [c.strip().split()[0].strip("`") for c in schema.split(",")]
 
@@ -58,17 +60,17 @@ def stateful(rows: DataFrame, key: str, order: list[str], start: Callable[[], ob
     return rows.groupBy(key).applyInPandasWithState(run, schema, "fold binary", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")
 
 
-def drop_repeats(entries: DataFrame) -> DataFrame:
+def drop_repeats(entries: DataFrame, idle: int | None = None) -> DataFrame:
     """Twin of ``dialogue.drop_repeats``."""
     step = lambda fold, r: r if fold.keep(r["at"], r["text"]) else None
-    return stateful(entries, "session_pk", ["seg_index", "id"], RepeatFilter, step, "session_pk bigint, seg_index bigint, id bigint, text string, at double", IDLE_MS)
+    return stateful(entries, "session_pk", ["seg_index", "id"], RepeatFilter, step, "session_pk bigint, seg_index bigint, id bigint, text string, at double", idle)
 
 
-def track_speakers(rows: DataFrame, most: int | None = None) -> DataFrame:
+def track_speakers(rows: DataFrame, most: int | None = None, idle: int | None = None) -> DataFrame:
     """Twin of ``vectors.track_speakers`` over (session, ord, embedding)."""
     import numpy as np
 
     def step(fold: SpeakerTracker, r: dict) -> dict:
         return {"session": r["session"], "ord": r["ord"], "speaker": fold.take(_unit(np.asarray(r["embedding"], np.float64)))}
 
-    return stateful(rows, "session", ["ord"], lambda: SpeakerTracker(most), step, "session bigint, ord bigint, speaker string", IDLE_MS)
+    return stateful(rows, "session", ["ord"], lambda: SpeakerTracker(most), step, "session bigint, ord bigint, speaker string", idle)
