@@ -7,14 +7,17 @@ streaming state use the same code; a frame without detections changes nothing.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from confab.operators import vectors
+from confab.session import cut
 
-MOST_PROFILES = 32 << 20  # bytes of known vectors that go to every task
+MOST_PROFILES = 32 << 20  # bytes of known vectors that go to every task at once; more are compared in blocks
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -217,15 +220,18 @@ class FaceNamer:
     fails: dict[int, int] = field(default_factory=dict)
     seen: dict[int, float] = field(default_factory=dict)
     strangers: int = 0
-    listed: list[str] = field(default_factory=list)
-    matrix: np.ndarray | None = None
+    listed: dict[bool, tuple[list[str], np.ndarray]] = field(default_factory=dict)
+    first: int = 0
+
+    def __post_init__(self):
+        self.first = len(self.known)
 
     @staticmethod
     def generic(name: str) -> bool:
         return name == "Unknown" or name.startswith("Person_") and name[7:].isdigit()
 
-    def take(self, at: float, faces: dict[int, np.ndarray]) -> dict[int, tuple[str, float]]:
-        """(name, score) of each track of a frame."""
+    def take(self, at: float, faces: dict[int, np.ndarray], nearest: dict[int, tuple[str, float]] | None = None) -> dict[int, tuple[str, float]]:
+        """(name, score) of each track of a frame; ``nearest``: the best first profile of a track, from ``match``, where they were compared before."""
         claimed = {}
         for t, name in self.names.items():
             if not self.generic(name) and (t in faces or at - self.seen.get(t, 0.0) < (30.0 if name in self.known else 5.0)):
@@ -233,7 +239,7 @@ class FaceNamer:
         out = {}
         for t, v in faces.items():
             self.seen[t] = at
-            name, score = self._best(v)
+            name, score = self._best(v, None if nearest is None else nearest.get(t, (None, -1.0)))
             if name is not None:
                 name = self._confirmed(t, name, score, v, claimed)
             if name is None and t in self.names:
@@ -243,19 +249,31 @@ class FaceNamer:
             out[t] = (name or "Unknown", score if name else 0.0)
         return out
 
-    def _best(self, v: np.ndarray) -> tuple[str | None, float]:
-        best, score = self._nearest(v)
+    def _best(self, v: np.ndarray, given: tuple[str | None, float] | None) -> tuple[str | None, float]:
+        best, score = self._nearest(v) if given is None else self._nearer(given, v)
         return (best if score >= self.match else None), score
 
     def _nearest(self, v: np.ndarray) -> tuple[str | None, float]:
         """The known name nearest to a vector, the first of equals; profiles are only ever added."""
-        if not self.known:
+        return self._nearer(self._among(False, v), v)
+
+    def _nearer(self, given: tuple[str | None, float], v: np.ndarray) -> tuple[str | None, float]:
+        stranger = self._among(True, v)
+        return stranger if stranger[1] > given[1] else given
+
+    def _among(self, strangers: bool, v: np.ndarray) -> tuple[str | None, float]:
+        """The nearest of the first profiles, or of those added since."""
+        n = len(self.known) - self.first if strangers else self.first
+        if not n:
             return None, -1.0
-        if len(self.listed) != len(self.known):
-            self.listed, self.matrix = list(self.known), np.stack(list(self.known.values()))
-        likeness = self.matrix @ v
+        names, rows = self.listed.get(strangers, ([], None))
+        if len(names) != n:
+            names = list(self.known)[self.first :] if strangers else list(self.known)[: self.first]
+            rows = np.stack([self.known[name] for name in names])
+            self.listed[strangers] = names, rows
+        likeness = np.round(rows @ v, 12)
         best = int(likeness.argmax())
-        return self.listed[best], float(likeness[best])
+        return names[best], float(likeness[best])
 
     def _confirmed(self, t: int, name: str, score: float, v: np.ndarray, claimed: dict[str, int]) -> str | None:
         if claimed.get(name, t) != t:
@@ -327,27 +345,118 @@ class FaceNamer:
         return best, 1.0
 
 
+@dataclass
+class FaceAsker(FaceNamer):
+    """A FaceNamer that holds only some of the profiles: the nearest of all to an enrolment's mean is answered, or else guessed and asked."""
+
+    answers: dict[int, tuple[str | None, float]] = field(default_factory=dict)
+    asked: list[tuple[int, np.ndarray, str | None]] = field(default_factory=list)
+    means: int = 0
+
+    def _nearest(self, v: np.ndarray) -> tuple[str | None, float]:
+        n, self.means = self.means, self.means + 1
+        if n in self.answers:
+            return self._nearer(self.answers[n], v)
+        guess = self._among(False, v)
+        guess = guess if guess[1] >= self.merge else (None, -1.0)
+        self.asked.append((n, v, guess[0]))
+        return self._nearer(guess, v)
+
+
+def _unit_faces(rows: np.ndarray) -> np.ndarray:
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
+
+
+def _named(namer: FaceNamer, part: pd.DataFrame, rows: np.ndarray, nearest: dict[int, tuple[str, float]]) -> list[tuple]:
+    """(frame, track, name, score) of one session's faces; unit vectors and nearest first profiles by the number in ``row``."""
+    out = []
+    for (frame, at), shown in part.sort_values(["frame", "track"]).groupby(["frame", "at"], sort=True):
+        where = {int(t): (i, int(r)) for t, i, r in zip(shown["track"], shown["place"], shown["row"])}
+        named = namer.take(float(at), {t: rows[i] for t, (i, _) in where.items()}, {t: nearest[r] for t, (_, r) in where.items() if r in nearest})
+        out += [(frame, t, n, float(s)) for t, (n, s) in named.items()]
+    return out
+
+
 def name_faces(faces: DataFrame, known: DataFrame, session: str) -> DataFrame:
     """(session, frame, track, name, score) of face vectors (session, frame, at, track, embedding) by FaceNamer; a session is one recording.
 
-    ``known`` (name, centroid: unit vectors) holds the profiles, which go to
-    every task; how many bytes they have is checked.
+    ``known`` (name, centroid) holds the profiles.  Up to MOST_PROFILES bytes of
+    them go to every task; however many there are beyond, all are compared.
     """
+    known = known.filter(F.col("name").isNotNull()).select("name", F.col("centroid").cast("array<double>").alias("centroid")).persist()
     size = known.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0)) * 8).first()[0]
+    faces = faces.select(session, "frame", "at", "track", "embedding")
     if size > MOST_PROFILES:
-        raise ValueError(f"{size} bytes of profiles are too many for each task; identify the vectors with vectors.matches() first")
-    profiles = faces.sparkSession.sparkContext.broadcast({r[0]: np.asarray(r[1]) for r in known.orderBy("name").select("name", "centroid").collect()})
-    kind = faces.schema[session].dataType.simpleString()
+        named = _named_by_blocks(faces, known, session)
+        known.unpersist()
+        return named
+    table = known.orderBy("name").toArrow()
+    known.unpersist()
+    column = table.column("centroid").combine_chunks()
+    rows = column.values.to_numpy(zero_copy_only=False).reshape(max(table.num_rows, 1), -1)[: table.num_rows]
+    profiles = faces.sparkSession.sparkContext.broadcast((table.column("name").to_pylist(), vectors.unit_rows(rows)))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        namer, out = FaceNamer(known=dict(profiles.value)), []
-        for (frame, at), shown in part.sort_values(["frame", "track"]).groupby(["frame", "at"], sort=True):
-            vectors = {int(t): np.asarray(v, np.float64) for t, v in zip(shown["track"], shown["embedding"])}
-            named = namer.take(float(at), {t: v / (np.linalg.norm(v) + 1e-8) for t, v in vectors.items()})
-            out += [(key[0], frame, t, n, float(s)) for t, (n, s) in named.items()]
-        return pd.DataFrame(out, columns=[session, "frame", "track", "name", "score"])
-
-    return faces.select(session, "frame", "at", "track", "embedding").groupBy(session).applyInPandas(run, f"`{session}` {kind}, frame bigint, track bigint, name string, score double")
+        names, held = profiles.value
+        namer, own = FaceNamer(known=dict(zip(names, held))), _unit_faces(np.stack(part["embedding"]).astype(np.float64))
+        part = part.drop(columns="embedding").assign(row=range(len(part)), place=range(len(part)))
+        nearest = {i: (names[j], s) for i, j, s in zip(*(x.tolist() for x in vectors.nearest_rows(own, held, namer.match)))}
+        return pd.DataFrame([(key[0], *x) for x in _named(namer, part, own, nearest)], columns=[session, "frame", "track", "name", "score"])
+
+    return faces.groupBy(session).applyInPandas(run, f"`{session}` {faces.schema[session].dataType.simpleString()}, frame bigint, track bigint, name string, score double")
+
+
+def _named_by_blocks(faces: DataFrame, known: DataFrame, session: str) -> DataFrame:
+    """name_faces() where no task holds all profiles.
+
+    The nearest profile of each face is found by blocks.  A session then gets
+    the profiles that can name its tracks: a name needs ``confirm`` faces of one
+    track that are nearest to it.  The other way to a name is the mean of an
+    enrolment; which profile is nearest to it is guessed among those that the
+    session has, and all guesses are then held against all profiles.  Sessions
+    with a wrong guess are gone through again with the answers up to it, so
+    every round settles one more at least, and no guess is in the result.
+    """
+    kind = faces.schema[session].dataType.simpleString()
+    faces = cut(faces).withColumn("row", F.monotonically_increasing_id())
+    found = cut(vectors.nearest(faces, known, [session, "track", "row"], "name", "embedding", FaceNamer.match, _unit_faces))
+    needed = found.groupBy(session, "track", "name").count().filter(F.col("count") >= FaceNamer.confirm).select(session, "name")
+    fields = {"row": "bigint", "n": "int", "name": "string", "score": "double", "centroid": "array<double>"}
+    told = lambda df: df.select(session, *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()))
+    answers = told(found.limit(0))
+
+    def run(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        columns = [session, "frame", "track", "name", "score", "n", "mean"]
+        if part.empty:
+            return pd.DataFrame([], columns=columns)
+        own = _unit_faces(np.stack(part["embedding"]).astype(np.float64))
+        nearest = {int(r): (n, s) for r, n, s in told.loc[told["row"].notna(), ["row", "name", "score"]].itertuples(index=False)}
+        answers = {int(n): (name, s) if isinstance(name, str) else (None, -1.0) for n, name, s in told.loc[told["n"].notna(), ["n", "name", "score"]].itertuples(index=False)}
+        held = told.loc[told["centroid"].notna(), ["name", "centroid"]].sort_values("name")
+        namer = FaceAsker(known=dict(zip(held["name"], vectors.unit_rows(np.stack(held["centroid"])) if len(held) else ())), answers=answers)
+        named = _named(namer, part.drop(columns="embedding").assign(place=range(len(part))), own, nearest)
+        return pd.DataFrame([(key[0], *x, None, None) for x in named] + [(key[0], None, None, guess, None, n, mean) for n, mean, guess in namer.asked], columns=columns).astype({"frame": "Int64", "track": "Int64", "n": "Int32"})
+
+    done = []
+    while True:
+        profiles = needed.union(answers.filter("name is not null").select(session, "name")).distinct().join(known, "name")
+        out = faces.groupBy(session).cogroup(told(found).union(told(profiles)).union(answers).groupBy(session)).applyInPandas(run, f"`{session}` {kind}, frame bigint, track bigint, name string, score double, n int, mean array<double>")
+        out = cut(out)
+        done.append(out.filter("n is null").select(session, "frame", "track", "name", "score"))
+        asked = out.filter("n is not null").select(session, "n", "mean", F.col("name").alias("guess"))
+        if asked.isEmpty():
+            break
+        best = vectors.nearest(asked, known, [session, "n"], "name", "mean", FaceNamer.merge, np.asarray)
+        both = asked.select(session, "n", "guess", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("score")).union(best.select(session, "n", F.lit(None).cast("string"), "name", "score"))
+        told_now = cut(both.groupBy(session, "n").agg(*(F.max(c).alias(c) for c in ("guess", "name", "score"))))
+        wrong = cut(told_now.filter(~F.col("guess").eqNullSafe(F.col("name"))).groupBy(F.col(session).alias("_session")).agg(F.min("n").alias("_until")))
+        if wrong.isEmpty():
+            break
+        again = lambda df, how: df.join(wrong, df[session].eqNullSafe(wrong["_session"]), how)
+        done[-1] = again(done[-1], "left_anti")
+        faces = again(faces, "left_semi")
+        answers = cut(again(answers, "left_semi").union(told(again(told_now, "inner").filter("n <= _until"))))
+    return reduce(DataFrame.union, done)
 
 
 def track_faces(detections: DataFrame, session: str) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confab.functions.columns import unit
+from confab.session import cut
 
 KNOWN_BYTES = 32 << 20  # of known vectors that are sent to every task as one matrix; more are compared in blocks
 BLOCK_NAMES, BLOCK_PROBES = 4096, 16384  # names and probes of one block beyond that, about
@@ -30,7 +33,7 @@ def _matrices(column: pa.ListArray | pa.ChunkedArray) -> Iterator[tuple[np.ndarr
         yield rows, values[offsets[rows][:, None] + np.arange(dim)]
 
 
-def _unit_rows(rows: np.ndarray) -> np.ndarray:
+def unit_rows(rows: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length > 0, length, 1)
 
@@ -50,7 +53,7 @@ def vector_sums(rows: DataFrame, key: str, vector: str, normalise: bool = False)
             coded = batch.column(0).dictionary_encode(null_encoding="encode")
             codes = coded.indices.to_numpy(zero_copy_only=False)
             for at, matrix in _matrices(batch.column(1)):
-                matrix = _unit_rows(matrix) if normalise else matrix
+                matrix = unit_rows(matrix) if normalise else matrix
                 order = np.argsort(codes[at], kind="stable")
                 own = codes[at][order]
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
@@ -95,7 +98,7 @@ def _ranked(rows: np.ndarray, known: np.ndarray, top: int | None, least: float |
 def _scored(keys: pa.Array, vectors: pa.Array, names: pa.Array, known: np.ndarray, key: str, name: str, top: int | None, least: float | None) -> Iterator[pa.RecordBatch]:
     for at, matrix in _matrices(vectors):
         # a vector of another length is like nobody
-        own = _unit_rows(matrix) if matrix.shape[1] == known.shape[1] else np.zeros((len(matrix), known.shape[1]))
+        own = unit_rows(matrix) if matrix.shape[1] == known.shape[1] else np.zeros((len(matrix), known.shape[1]))
         i, j, score, rank = _ranked(own, known, top, least)
         yield pa.RecordBatch.from_arrays([keys.take(pa.array(at[i])), names.take(pa.array(j)), pa.array(score.astype(np.float64)), pa.array(rank.astype(np.int32))], [key, name, "score", "rank"])
 
@@ -145,6 +148,71 @@ def matches(probes: DataFrame, known: DataFrame, key: str, name: str, vector: st
     return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
+def nearest_rows(probes: np.ndarray, known: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, known row, score): the most similar known row of each row that has one of ``least`` or more; of equal scores the first.
+
+    Products in single precision leave a row what can still be its best by their error bound; those are scored in double.
+    """
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    rough, slack = known.astype(np.float32), probes.shape[1] * 2.5e-7
+    for at in range(0, len(probes) if len(known) else 0, AT_ONCE // 2):
+        rows = probes[at : at + AT_ONCE // 2]
+        likeness = rows.astype(np.float32) @ rough.T
+        i, j = np.nonzero(likeness >= (np.maximum(likeness.max(axis=1), least) - slack)[:, None])
+        score = np.concatenate([np.einsum("nd,nd->n", rows[i[k : k + AT_ONCE]], known[j[k : k + AT_ONCE]]) for k in range(0, len(i), AT_ONCE)] or [np.zeros(0)]).round(12)
+        by = np.lexsort((j, -score, i))
+        by = by[score[by] >= least]
+        by = by[np.append(True, i[by][1:] != i[by][:-1])[: len(by)]]
+        found.append((at + i[by], j[by], score[by]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def nearest(probes: DataFrame, known: DataFrame, keys: list[str], name: str, vector: str, least: float, scaled: Callable[[np.ndarray], np.ndarray] = unit_rows) -> DataFrame:
+    """(keys, name, score): the most similar known name (name, centroid) of each probe that has one of ``least`` or more; equal scores go by name.
+
+    The smaller table goes to the tasks KNOWN_BYTES at a time, and the other is
+    read once for each such block: no vector is shuffled, no task or driver
+    holds more than a block, and nothing is left out.  ``scaled`` brings the
+    probes' vectors to the length at which they are compared.
+    """
+    bytes_of = lambda df, column: df.agg(F.coalesce(F.sum(F.greatest(F.size(column), F.lit(0))), F.lit(0)) * 8).first()[0]
+    known = known.filter(F.col(name).isNotNull()).select(name, "centroid")
+    probes = probes.select(*keys, vector)
+    sizes = bytes_of(known, "centroid"), bytes_of(probes, vector)
+    to_probes = sizes[0] <= sizes[1]
+    sent, read = (known, probes) if to_probes else (probes, known)
+    blocks = max(-(-min(sizes) // KNOWN_BYTES), 1)
+    block = F.pmod(F.xxhash64(*sent.columns[:-1]), F.lit(blocks))
+    schema = ", ".join([f"`{c}` {(probes if c in keys else known).schema[c].dataType.simpleString()}" for c in [*keys, name]]) + ", score double"
+
+    def task(held: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                yield from _nearest_of(*((table, held.value) if to_probes else (held.value, table)), name, least, scaled)
+
+        return run
+
+    found = []
+    for b in range(blocks):
+        held = probes.sparkSession.sparkContext.broadcast(sent.filter(block == b).toArrow().combine_chunks())
+        found.append(cut(read.mapInArrow(task(held), schema)))
+        held.destroy()
+    best = F.min(F.struct((-F.col("score")).alias("low"), F.col(name).alias("name"))).alias("best")
+    return reduce(DataFrame.union, found).groupBy(*keys).agg(best).select(*keys, F.col("best.name").alias(name), (-F.col("best.low")).alias("score"))
+
+
+def _nearest_of(probes: pa.Table, known: pa.Table, name: str, least: float, scaled: Callable[[np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    known = known.sort_by(name)
+    profiles = {rows.shape[1]: (at, unit_rows(rows)) for at, rows in _matrices(known.column("centroid"))} if known.num_rows else {}
+    for at, rows in _matrices(probes.column(probes.num_columns - 1)) if probes.num_rows else ():
+        if rows.shape[1] in profiles:
+            of, own = profiles[rows.shape[1]]
+            i, j, score = nearest_rows(scaled(rows), own, least)
+            keys = probes.select(probes.column_names[:-1]).take(pa.array(at[i]))
+            yield from keys.append_column(name, known.column(name).take(pa.array(of[j]))).append_column("score", pa.array(score)).combine_chunks().to_batches()
+
+
 def scores(probes: DataFrame, known: DataFrame, key: str, name: str, vector: str) -> DataFrame:
     """(key, name, score) of every probe against every centroid."""
     return matches(probes, known, key, name, vector).select(key, name, "score")

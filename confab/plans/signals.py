@@ -38,8 +38,8 @@ def _signals(spark, d):
 def face_names(spark, d):
     """Names of tracks in recordings of four hundred vectors, one a frame, by the profiles of half the speakers."""
     f = table(spark, d, "face_embeddings").filter("is_active = 1 and size(embedding) = 512").filter(F.exists("embedding", lambda x: x != 0))
-    known = vectors.centroids(f.filter("speaker_id % 2 = 0").withColumn("name", F.concat(F.lit("Rosto "), F.col("speaker_id").cast("string"))), "name", "embedding")
-    f = f.withColumn("session", F.floor(F.col("id") / 400))
+    known = vectors.centroids(f.filter("speaker_id % 2 = 0").withColumn("name", F.concat(F.lit("Rosto "), F.col("speaker_id").cast("string"))), "name", "embedding", normalise=False)
+    f = f.select("id", "speaker_id", "embedding", F.floor(F.col("id") / 400).alias("session")).repartition("session")
     frame = F.row_number().over(Window.partitionBy("session", "speaker_id").orderBy("id")).cast("bigint")
     shown = f.select("session", frame.alias("frame"), (frame * 0.1).alias("at"), F.col("speaker_id").alias("track"), "embedding")
     return tracking.name_faces(shown, known, "session").select("session", "frame", "track", "name", half_even(F.col("score"), 6).alias("score"))

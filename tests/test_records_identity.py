@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from confab.operators import dialogue, frames, identity, records, store, tracking
+from confab.operators import dialogue, frames, identity, records, store, tracking, vectors
 from confab.sources import sessions
 
 CANDIDATES = "array<struct<name:string,score:double>>"
@@ -79,6 +79,35 @@ def test_face_names_match_the_plain_fold(spark):
     assert got[1, 0, 0] == "Unknown"
 
 
+def test_face_names_compare_profiles_beyond_what_a_task_holds(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    known = np.linalg.qr(rng.standard_normal((64, 64)))[0][:30]
+    names = {f"n{i:02d}": v for i, v in enumerate(known)} | {"n99": known[4]}  # a copy: the first of equals counts
+    free = np.linalg.qr(np.vstack([known, rng.standard_normal((34, 64))]).T)[0].T[30:]
+    # of each track: the nearest profile, how near, and the frame at which it comes
+    tracks = {s: [(4, 0.9, 0), (7 + s, 0.62, 0), (9, 0.62, 30), (11, 0.1, 5), (12 + s, 0.62, 50), (4, 0.8, 20), (11, 0.1, 60)] for s in (1, 2)} | {3: [(20, 0.9, 0)]}
+    rows = []
+    for s, own in tracks.items():
+        for t, (k, near, begin) in enumerate(own):
+            for f in range(begin, begin + 130 - 10 * t):
+                v = near * known[k] + np.sqrt(1 - near**2) * (0.8 * free[t] + 0.6 * free[8 + rng.integers(20)])
+                rows.append((s, f, f / 10, t, (float(rng.uniform(1, 9)) * v).tolist()))
+    want = {}
+    for s in tracks:
+        namer = tracking.FaceNamer(known=dict(names))
+        for f in sorted({r[1] for r in rows if r[0] == s}):
+            shown = {r[3]: np.array(r[4]) / (np.linalg.norm(r[4]) + 1e-8) for r in rows if r[:2] == (s, f)}
+            want |= {(s, f, t): (n, round(x, 9)) for t, (n, x) in namer.take(f / 10, shown).items()}
+    df = spark.createDataFrame(rows, "session bigint, frame bigint, at double, track bigint, embedding array<double>").repartition(5)
+    profiles = spark.createDataFrame([(n, v.tolist()) for n, v in names.items()], "name string, centroid array<double>")
+    found = lambda: {(r.session, r.frame, r.track): (r.name, round(r.score, 9)) for r in tracking.name_faces(df, profiles, "session").collect()}
+    assert {n for n, _ in want.values()} >= {"Unknown", "n04", "n08", "n09", "n13", "n14", "n20", "Person_1"}
+    assert found() == want
+    monkeypatch.setattr(tracking, "MOST_PROFILES", 0)
+    monkeypatch.setattr(vectors, "KNOWN_BYTES", 8 * 64 * 8, raising=False)
+    assert found() == want
+
+
 def test_session_files_are_in_order_and_replaceable(spark, tmp_path):
     lines = spark.createDataFrame([(pk, i, f"line {i}") for pk in (1, 2) for i in range(50)], "session_pk bigint, seg_index bigint, line string").repartition(7)
     sessions.save_sessions(str(tmp_path), lines, lines.limit(0), lines.filter("session_pk = 1"), lines.withColumnRenamed("line", "record"), ["seg_index"])
